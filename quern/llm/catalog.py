@@ -1,9 +1,10 @@
 """The queries of this folder and their SQL."""
 
-from quern.llm import lines, mixing
+from quern.llm import lines, mixing, toxicity
 
 QUERIES = {
     "op3_substring_dedup": lines.op3_substring_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
     "op8_line_dedup": lines.op8_line_dedup,
 }
