@@ -1,11 +1,12 @@
 """The queries of this folder and their SQL."""
 
-from quern.llm import lines, mixing, toxicity
+from quern.llm import langid, lines, mixing, toxicity
 
 QUERIES = {
     "op3_substring_dedup": lines.op3_substring_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
+    "op7_language_id": langid.op7_language_id,
     "op8_line_dedup": lines.op8_line_dedup,
 }
 ORACLE_SQL = {
