@@ -1,8 +1,9 @@
 """The queries of this folder and their SQL."""
 
-from quern.llm import langid, lines, mixing, toxicity
+from quern.llm import decontam, langid, lines, mixing, toxicity
 
 QUERIES = {
+    "op2_decontamination": decontam.op2_decontamination,
     "op3_substring_dedup": lines.op3_substring_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
@@ -10,6 +11,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
 }
 ORACLE_SQL = {
+    "op2_decontamination": decontam.OP2_SQL,
     "op3_substring_dedup": lines.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_line_dedup": lines.OP8_SQL,
