@@ -13,14 +13,13 @@ SPAN = 9
 #: A hit counts if WINDOW aligned tokens around it agree in at least NEEDED places (0.8 of them).
 WINDOW, NEEDED = 13, 11
 MAX_BROADCAST_SEEDS = 500_000
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What parts words: ASCII but for digits and letters.
+_PARTS = r"[\x00-/:-@\[-`{-\x7f]+"
 
 
 def tokens(text: Column) -> Column:
-    """Words: A-Z lower-cased, ASCII punctuation and white space part them. Null and empty texts have none."""
-    flat = F.translate(F.coalesce(text, F.lit("")), _UPPER + _PUNCTUATION, _LOWER + " " * len(_PUNCTUATION))
-    return F.filter(F.split(flat, " +"), lambda w: w != "")
+    """Lower-cased words, parted by ASCII other than digits and letters. Null and empty texts have none."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _PARTS), lambda w: w != "")
 
 
 def _hashes(text: Column) -> Column:
@@ -96,12 +95,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("__k")
 
 
-_SQL_WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''), '{up}' || {punct}, '{low}' || '{blank}'), ' +'), lambda w: w <> '')""".format(
-    up=_UPPER,
-    low=_LOWER,
-    blank=" " * len(_PUNCTUATION),
-    punct="'" + _PUNCTUATION.replace("\t\n\x0b\x0c\r", "").replace("'", "''") + "' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)",
-)
+_SQL_WORDS = f"list_filter(string_split_regex(lower(coalesce(text, '')), '{_PARTS}'), lambda w: w <> '')"
 _SQL_KEYS = " UNION ALL ".join(
     f"SELECT {m} AS m, id, t, p, concat_ws(' ', {', '.join(f't[p + {o + 1}]' for o in mask)}) AS k FROM {{0}}_at" for m, mask in enumerate(MASKS)
 )
