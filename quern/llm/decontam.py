@@ -29,13 +29,14 @@ def _hashes(text: Column) -> Column:
 def _seeds(df: DataFrame, hashes: str, place: str) -> DataFrame:
     """df with one row per place and mask (mask, place, key); rows of fewer than SPAN tokens have none."""
     n = len(MASKS)
-    df = df.where(F.size(hashes) >= SPAN).withColumn("__p", F.explode(F.sequence(F.lit(0), (F.size(hashes) - SPAN + 1) * n - 1)))
+    # No filter on the hashes and no null key: either would have Spark hash every text, or make every key, twice
+    df = df.withColumn("__p", F.explode(F.when(F.size(hashes) >= SPAN, F.sequence(F.lit(0), (F.size(hashes) - SPAN + 1) * n - 1))))
     df = df.withColumns({place: (F.col("__p") / n).cast("int"), "__m": F.col("__p") % n})
     key = F.lit(None).cast("long")
     for m, mask in enumerate(MASKS):
         at = [F.get(F.col(hashes), F.col(place) + o) for o in mask]
         key = F.when(F.col("__m") == m, F.xxhash64(F.lit(m), *at)).otherwise(key)
-    return df.withColumn("__key", key).drop("__p", "__m")
+    return df.withColumn("__key", F.coalesce(key, F.lit(0))).drop("__p", "__m")
 
 
 def _agreement(i: str, j: str) -> tuple[Column, Column]:
@@ -77,10 +78,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
         found = probes.select("__k", "__i", "__key").join(seeds.drop("__u"), "__key").select("__k", "__i", "item_id", "__j").distinct()
         hits = found.join(d, "__k").join(u, "item_id")
     same, most = _agreement("__i", "__j")
-    hits = hits.withColumn("__same", same).withColumn("agreeing", most).where(F.col("agreeing") >= NEEDED)
-    return hits.groupBy("__k", "doc_id", "item_id").agg(
-        F.max("agreeing").cast("long").alias("agreeing"), F.min("__i").cast("long").alias("from_token"), (F.max("__i") + SPAN).cast("long").alias("to_token")
+    hits = hits.withColumn("__same", same).withColumn("agreeing", most)
+    # What fails goes after the grouping: a filter here would move into the join and put it out of generated code
+    good = F.when(F.col("agreeing") >= NEEDED, F.col("__i"))
+    found = hits.groupBy("__k", "doc_id", "item_id").agg(
+        F.max("agreeing").cast("long").alias("agreeing"), F.min(good).cast("long").alias("from_token"), (F.max(good) + SPAN).cast("long").alias("to_token")
     )
+    return found.where(F.col("agreeing") >= NEEDED)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", **names) -> DataFrame:
