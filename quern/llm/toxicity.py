@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import MIX, mix64, modulus, table
 
 #: Labelled rows that the model is fitted on, at most (about: rows are chosen by a hash of their id).
-MAX_FIT_ROWS = 8_000
+MAX_FIT_ROWS = 4_000
 DISCOUNT, STRENGTH, CLEAR = 0.75, 100.0, 2.5
 #: Longest n-gram of characters, and the least number of times (documents and words) that one is kept for.
 ORDER, MIN_COUNT, MAX_CHARS = 7, 3, 22
@@ -141,23 +141,29 @@ def _features(r: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.stack([np.ones(n_docs), total / n, np.log1p(clear / np.sqrt(n)), np.log1p(clear), np.sqrt(clear / n)], 1)
 
 
+def _summed(key: np.ndarray, ctx: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, first, back = np.unique(key, return_index=True, return_inverse=True)
+    return key, ctx[first], np.stack([np.bincount(back, m[:, c], len(key)) for c in (0, 1)], 1)
+
+
 def _fit(words, ids, sizes, toxic, weights=None) -> Model:
     """Counts a word once for each document that holds it, so copies within one don't count."""
     doc, ids = _once(ids, sizes, len(words))
     n = np.stack([np.bincount(ids, toxic[doc] == c, len(words)) for c in (0, 1)], 1)
     words, n = words[n.sum(1) > 0], n[n.sum(1) > 0]
-    grams, real = _grams(words)
-    keys, ctxs, counts, news = [], [], [], []
-    w, j = np.nonzero(real)
-    for k in range(ORDER):
-        g, c = grams[k, w, j], grams[k - 1, w, j - 1] if k else np.ones(len(w), np.uint64)
-        ok = (g > 0) & (c > 0)
-        u, first, back = np.unique(g[ok], return_index=True, return_inverse=True)
-        m = np.stack([np.bincount(back, n[w[ok], cl], len(u)) for cl in (0, 1)], 1)
-        keys.append(u), ctxs.append(c[ok][first]), counts.append(m), news.append(np.full(len(u), k))
-    key, ctx, m, k = (np.concatenate(x) if x else np.zeros(0) for x in (keys, ctxs, counts, news))
+    parts = []
+    for lo in range(0, len(words), 20_000):  # the grams of all words at once would take hundreds of MB
+        grams, real = _grams(words[lo : lo + 20_000])
+        w, j = np.nonzero(real)
+        for k in range(ORDER):
+            g, c = grams[k, w, j], grams[k - 1, w, j - 1] if k else np.ones(len(w), np.uint64)
+            ok = (g > 0) & (c > 0)
+            parts.append(_summed(g[ok], c[ok], n[lo + w[ok]]))
+        if len(parts) > 10 * ORDER:
+            parts = [_summed(*(np.concatenate(x) for x in zip(*parts)))]
+    key, ctx, m = _summed(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 2)))
     often = m.sum(1) >= MIN_COUNT
-    key, ctx, m, k = key[often], ctx[often], m[often], k[often]
+    key, ctx, m = key[often], ctx[often], m[often]
     u, at = np.unique(ctx, return_inverse=True)
     total = np.stack([np.bincount(at, m[:, c], len(u)) for c in (0, 1)], 1)
     kinds = np.stack([np.bincount(at, m[:, c] > 0, len(u)) for c in (0, 1)], 1)
