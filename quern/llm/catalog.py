@@ -1,8 +1,9 @@
 """The queries of this folder and their SQL."""
 
-from quern.llm import decontam, langid, lines, mixing, toxicity
+from quern.llm import decontam, embeddings, langid, lines, mixing, toxicity
 
 QUERIES = {
+    "op10_embedding_dedup": embeddings.op10_embedding_dedup,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_substring_dedup": lines.op3_substring_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
