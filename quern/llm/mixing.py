@@ -18,8 +18,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> Da
     """sizes(source, source_size) with rank, weight and target: weights shared by code point rank (null last), the
     whole of all sizes shared by weight, no target above cap times its source's size, the excess reshared by weight.
 
-    Closed form instead of rounds: in order of size over weight, sources below the level fill up; the level is the
-    first at which the next source would not. One row per source; the window holds no more."""
+    Closed form instead of rounds: in order of size over weight, sources below the level fill up, and the level
+    is what the others get per weight. One row per source; the window holds no more."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("rank", F.row_number().over(order) - 1)
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -35,9 +35,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> Da
         }
     )
     s = s.withColumn("level", (F.col("total") - F.col("full")) / F.col("left"))
-    s = s.withColumn("fits", F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level")))
-    s = s.withColumn("level", F.min("fits").over(every))
-    # level is the least that fits: earlier sources are full, and it does not fall when more of them fill up
+    # It rises as long as full sources pass on what they can't take, and falls from where sources that aren't full
+    # are held for full: the largest is the one
+    s = s.withColumn("level", F.max("level").over(every))
     target = F.least(F.col("most"), F.col("level") * F.col("weight"))
     return s.select("source", "source_size", "rank", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
@@ -141,7 +141,7 @@ WITH d AS (
          coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS filled,
          sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
   FROM w
-), l AS (SELECT min((total - filled) / rest) AS level FROM c WHERE (total - filled) / rest <= most / weight),
+), l AS (SELECT max((total - filled) / rest) AS level FROM c),
 t AS (SELECT source, source_size, least(most, level * weight) AS target FROM c, l),
 p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
