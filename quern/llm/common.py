@@ -79,6 +79,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+class Lookup:
+    """A hash table over uint64 keys in numpy: open addressing, linear probes."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(4, int(np.ceil(np.log2(max(len(keys), 1) * 3))))
+        self.slots, self.probes = np.full(1 << self.bits, -1, np.int32), 0
+        at, left = self._home(keys), np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            self.probes += 1
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            at, left = (at[lost] + 1) & ((1 << self.bits) - 1), left[lost]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, want: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        out = np.full(len(want), -1, np.int64)
+        if not len(self.keys):
+            return out
+        at, left = self._home(want), np.arange(len(want))
+        for _ in range(self.probes):
+            got = self.slots[at]
+            hit = (got >= 0) & (self.keys[got] == want[left])
+            out[left[hit]] = got[hit]
+            on = (got >= 0) & ~hit
+            if not on.any():
+                break
+            at, left = (at[on] + 1) & ((1 << self.bits) - 1), left[on]
+        return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node long, component long): the smallest node reachable over undirected edges (a, b).
 

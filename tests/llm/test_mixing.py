@@ -44,7 +44,7 @@ def test_mix(spark):
     assert len(rows) == 21
     taken = {}
     for r in rows:
-        assert 0 <= r.__getattr__("__taken") <= 3 * r["__size"]
+        assert 0 <= r["__taken"] <= 3 * r["__size"]
         t = taken.setdefault(r.source, [0, r["__target"], 0])
         t[0] += r["__taken"]
         t[2] = max(t[2], r["__size"])
