@@ -1,8 +1,9 @@
 """The queries of this folder and their SQL."""
 
-from quern.llm import decontam, embeddings, langid, lines, mixing, simhash, suffix_tree, toxicity
+from quern.llm import decontam, embeddings, langid, lines, mixing, repeats, simhash, suffix_tree, toxicity
 
 QUERIES = {
+    "op4_repeated_strings": repeats.op4_repeated_strings,
     "op1_suffix_tree": suffix_tree.op1_suffix_tree,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
     "op10_embedding_dedup": embeddings.op10_embedding_dedup,
