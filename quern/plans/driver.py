@@ -101,18 +101,18 @@ _ids("op_ne", "docs", _leaf("toxic", "ne", 1), _where(_L, "doc_id", "toxic IS DI
 _ids("op_in", "events", _leaf("type", "in", ["click", "purchase", "nothing"]), _where("events", "event_id", "lower(event_type) IN ('click', 'purchase', 'nothing')"))
 for _op, _s in (("lt", "<"), ("lte", "<="), ("gt", ">"), ("gte", ">=")):
     _ids(f"op_{_op}", "part", _leaf("size", _op, 20), _where("part", "p_partkey", f"p_size {_s} 20"))
-_ids("op_between", "part", _leaf("price", "between", [1000, 1500]), _where("part", "p_partkey", "p_retailprice BETWEEN 1000 AND 1500"))
+_ids("op_between", "part", _leaf("price", "between", [920, 970.5]), _where("part", "p_partkey", "p_retailprice BETWEEN 920 AND 970.5"))
 _ids("op_date_math", "orders", {"all": [_leaf("date", "gte", "1996-01-31||+1M/M"), _leaf("date", "lt", "1998-01-01||-1y/d")]}, _where("orders", "o_orderkey", "o_orderdate >= TIMESTAMP '1996-02-01' AND o_orderdate < TIMESTAMP '1997-01-01'"))
 _ids("op_date_round_up", "orders", _leaf("date", "lte", "1996-03-10||/M"), _where("orders", "o_orderkey", "o_orderdate < TIMESTAMP '1996-04-01'"))
 _ids("op_exists", "docs", _leaf("quality", "exists"), _where(_L, "doc_id", "quality IS NOT NULL"))
 _ids("op_exists_false", "docs", _leaf("quality", "exists", False), _where(_L, "doc_id", "quality IS NULL"))
 _ids("op_contains", "part", _leaf("name", "contains", "RE"), _where("part", "p_partkey", "contains(lower(p_name), 're')"))
 _ids("op_contains_any", "part", _leaf("name", "contains_any", ["blue", "gr"]), _where("part", "p_partkey", "contains(lower(p_name), 'blue') OR contains(lower(p_name), 'gr')"))
-_ids("op_contains_all", "part", _leaf("name", "contains_all", ["e", "1"]), _where("part", "p_partkey", "contains(lower(p_name), 'e') AND contains(lower(p_name), '1')"))
+_ids("op_contains_all", "part", _leaf("name", "contains_all", ["e", "G"]), _where("part", "p_partkey", "contains(lower(p_name), 'e') AND contains(lower(p_name), 'g')"))
 _ids("op_starts_with", "part", _leaf("brand", "starts_with", "Brand#1"), _where("part", "p_partkey", "starts_with(lower(p_brand), 'brand#1')"))
 _WORDS = "concat(' ', regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g'), ' ')"
-_ids("op_words_all", "part", _leaf("name", "words_all", ["part", "1"]), _where("part", "p_partkey", f"contains({_WORDS}, ' part ') AND contains({_WORDS}, ' 1 ')"))
-_ids("op_words_any", "part", _leaf("name", "words_any", ["blue", "Part 12"]), _where("part", "p_partkey", f"contains({_WORDS}, ' blue ') OR contains({_WORDS}, ' part 12 ')"))
+_ids("op_words_all", "part", _leaf("name", "words_all", ["Red", "widget"]), _where("part", "p_partkey", f"contains({_WORDS}, ' red ') AND contains({_WORDS}, ' widget ')"))
+_ids("op_words_any", "part", _leaf("name", "words_any", ["blue", "hot gear"]), _where("part", "p_partkey", f"contains({_WORDS}, ' blue ') OR contains({_WORDS}, ' hot gear ')"))
 _ids("op_has", "orders", _leaf("flags", "has", "R"), _where(_O, "o_orderkey", "list_contains(flags, 'R')"))
 _ids("op_has_any", "orders", _leaf("flags", "has_any", ["r", "a"]), _where(_O, "o_orderkey", "list_has_any(flags, ['R', 'A'])"))
 _ids("op_has_all", "orders", _leaf("flags", "has_all", ["n", "a"]), _where(_O, "o_orderkey", "list_has_all(flags, ['N', 'A'])"))
@@ -128,11 +128,13 @@ _ids("nested_not", "orders", {"not": {"nested": {"path": "_v", "query": {"not":
 
 
 def _similar(spark, d):
-    node = q.parse(_leaf("name", "similar", {"text": "part name 12", "min": 0.3}))
+    node = q.parse(_leaf("name", "similar", {"text": "red widgets", "min": 0.5}))
     return se.matching(parts(spark, d), node, PARTS).select(F.col("id").cast("long").alias("id"))
 
 
 QUERIES["op_similar"] = _similar
+_GRAMS = "list_distinct(flatten(list_transform(string_split({}, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2]))))"
+SQL["op_similar"] = f"SELECT p_partkey::BIGINT AS id FROM (SELECT p_partkey, {_GRAMS.format('lower(p_name)')} AS a, {_GRAMS.format(chr(39) + 'red widgets' + chr(39))} AS b FROM part) WHERE len(list_intersect(a, b))::FLOAT / (len(a) + len(b) - len(list_intersect(a, b)))::FLOAT >= 0.5"
 
 
 def _page(name: str, source: str, body: dict, cols: dict, sql: str):
