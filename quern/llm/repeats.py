@@ -129,7 +129,7 @@ def _find(docs: DataFrame, buckets: int) -> DataFrame:
                 doc, first, last, trigger, whole = phrases(data, starts, ends)
                 if not len(doc):
                     continue
-                ids, k = part.doc_id.fillna(_LAST).to_numpy(np.int64)[doc], part.k.to_numpy(np.int64)[doc]
+                ids, k = part.doc_id.to_numpy(np.int64)[doc], part.k.to_numpy(np.int64)[doc]
                 order, new, later = _later([trigger, whole], ids, k, first)
                 again = order[later]
                 rows = [(b % buckets, True, b, blob) for b, blob in _by_bucket(_doc_bucket(k[again], buckets), buckets, k[again], first[again].astype(np.uint32), last[again].astype(np.uint32), trigger[again], np.ones(len(again), np.uint8))]
@@ -185,6 +185,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("k", F.xxhash64("doc_id", "text", F.col("text").isNull()))
+    # no null ids in pandas, which would make floats of a batch's ids
+    d = d.select("text", "k", F.col("doc_id").isNull().alias("miss"), F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"))
     buckets = max(8, -(-text_bytes(d, "text") // BATCH_BYTES))
     found = scratch(spark, _find(d, buckets), "repeats")
 
@@ -206,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 continue
             row = np.concatenate([np.full(len(x), i) for i, x in picks])
             run = np.concatenate([x for _, x in picks])
-            ids, k = part.doc_id.fillna(_LAST).to_numpy(np.int64)[row], part.k.to_numpy(np.int64)[row]
+            ids, k = part.doc_id.to_numpy(np.int64)[row], part.k.to_numpy(np.int64)[row]
             hot = what[run] == 3
             cold = np.flatnonzero(~hot)
             lens = last[run[cold]] - first[run[cold]] + WINDOW
@@ -271,12 +273,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     np.add.at(marks, s + first[r], 1)
                     np.add.at(marks, s + last[r] + WINDOW, -1)
             gone = np.cumsum(marks)[:-1] > 0
-            for doc_id, s, e in zip(part.doc_id, starts, ends):
+            for doc_id, miss, s, e in zip(part.doc_id, part.miss, starts, ends):
                 g = gone[s:e]
                 kept = data[s:e][~g].tobytes()
                 spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-                out.append((doc_id, e - s, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+                out.append((None if miss else int(doc_id), e - s, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).assign(doc_id=lambda f: pd.array([x[0] for x in out], "Int64"))
 
     by_home = homed.groupBy("db")
     met = by_home.cogroup(found.groupBy("db")).applyInPandas(contexts, "bucket int, hot int, blob binary")

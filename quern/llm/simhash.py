@@ -123,13 +123,16 @@ def sketches(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 sets = shingle_sets(p.text.tolist())
                 node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) if len(s) else None for s in sets]
                 f = [fingerprint(s) if len(s) else (None, None) for s in sets]
-                out = pd.DataFrame({"id": p.id.to_numpy(), "k": p.k.to_numpy()})
+                out = pd.DataFrame({"id": p.id.to_numpy(), "miss": p.miss.to_numpy(), "k": p.k.to_numpy()})
                 out["node"] = pd.array(node, "Int64")
                 out["f0"], out["f1"] = pd.array([x[0] for x in f], "Int64"), pd.array([x[1] for x in f], "Int64")
                 yield out
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    return d.mapInPandas(run, "id long, k string, node long, f0 long, f1 long")
+    # no null ids in pandas, which would make floats of a batch's ids
+    own = F.col(id_col).cast("long")
+    d = docs.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("miss"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    out = d.mapInPandas(run, "id long, miss boolean, k string, node long, f0 long, f1 long")
+    return out.select(F.when(~F.col("miss"), F.col("id")).alias("id"), "k", "node", "f0", "f1")
 
 
 def _coordinates(r: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +152,9 @@ def _strips(f: np.ndarray, r: int, first: int, last: int) -> np.ndarray:
     return key
 
 
-def candidate_edges(classes: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
-    """(a, b): pairs of classes(node, f0, f1) within the candidate distance, of every list a spanning forest of the
-    nearest and all pairs of those with few.
+def candidate_lists(classes: DataFrame, n: int, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame | None]:
+    """Lists of classes(node, f0, f1) to be compared, as rows (r, key, lo, hi, block, node, f0, f1), and pairs (a, b)
+    of members with their list's first one where a list had to be filtered further.
 
     Recursion: a fingerprint passes one filter on each strip; lists that stay larger than MOST are filtered on further
     strips of their repeat, after each of their members was held against the list's first one; equal fingerprints,
@@ -194,6 +197,22 @@ def candidate_edges(classes: DataFrame, n: int, similar: float = SIMILAR) -> Dat
     for d in done[1:]:
         all_rows = all_rows.union(d)
 
+    extra = None
+    for h in hubs:
+        h = h.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        extra = h if extra is None else extra.union(h)
+    return split_hot(all_rows, ["r", "key"], "node", MOST), extra
+
+
+_LIST = ["r", "key", "lo", "hi"]
+
+
+def _pairs(lists: DataFrame, within: int, low: int, high: int) -> DataFrame:
+    """(a, b, then the list's key): of every list the pairs within the candidate distance that are among the low to
+    high nearest of either, their components (column comp, where there is one) apart; from the first ranks on also a
+    spanning forest of the nearest. A row with r >= 0 names a list that has pairs beyond high."""
+    with_comp = "comp" in lists.columns
+
     def compare(g: pd.DataFrame) -> pd.DataFrame | None:
         f, node = np.ascontiguousarray(g[["f0", "f1"]].to_numpy(np.int64)).view(np.uint64), g.node.to_numpy()
         d = np.bitwise_count(f[:, 0][:, None] ^ f[:, 0][None]) + np.bitwise_count(f[:, 1][:, None] ^ f[:, 1][None])
@@ -205,18 +224,61 @@ def candidate_edges(classes: DataFrame, n: int, similar: float = SIMILAR) -> Dat
         has = np.flatnonzero(near.any(1))
         if not len(has):
             return None
-        near, d = near[np.ix_(has, has)], d[np.ix_(has, has)]
-        tree = forest(d.astype(np.float64), within) if near.sum(1).max() > 8 else np.zeros((0, 2), np.int64)
-        few = near.sum(1) <= 8
-        a, b = np.nonzero(np.triu(near & (few[:, None] | few[None])))
-        a, b = node[has][np.concatenate([tree[:, 0], a])], node[has][np.concatenate([tree[:, 1], b])]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    all_rows = split_hot(all_rows, ["r", "key"], "node", MOST)
-    edges = by_key(all_rows, ["r", "key", "lo", "hi"], compare, "a long, b long")
-    for h in hubs:
-        edges = edges.union(h.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return edges.distinct()
+        near, d, node = near[np.ix_(has, has)], d[np.ix_(has, has)], node[has]
+        degree = near.sum(1)
+        if degree.max() > high:
+            rank = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable")
+            now, later = near & (rank >= low) & (rank < high), near & (rank >= high)
+        else:
+            now, later = (near, None) if not low else (near & (np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable") >= low), None)
+        if with_comp:
+            comp = g.comp.to_numpy()[has]
+            apart = comp[:, None] != comp[None]
+            now = now & apart
+            later = later & apart if later is not None else None
+        a, b = np.nonzero(np.triu(now | now.T))
+        if not low and later is not None:
+            tree = forest(d.astype(np.float64), within)
+            a, b = np.concatenate([tree[:, 0], a]), np.concatenate([tree[:, 1], b])
+        out = pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "r": -1, "key": 0, "lo": 0, "hi": 0})
+        if later is not None and later.any():
+            more = pd.DataFrame({"a": [0], "b": [0], **{c: [int(g[c].iloc[0])] for c in _LIST}})
+            out = pd.concat([out, more])
+        return out
+
+    return by_key(lists, _LIST, compare, "a long, b long, r int, key long, lo int, hi int")
+
+
+FIRST_RANKS = 8
+
+
+def links(classes: DataFrame, docs: DataFrame, sketch: DataFrame, n: int, similar: float, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): verified links that connect all classes that links connect.
+
+    First each class is held against its FIRST_RANKS nearest of each list. Lists with more candidates go on, twice as
+    many at a time, with pairs of which the links found so far don't connect both sides: in a group of thousands of
+    copies hardly any are left, and no candidate pair across groups is passed over."""
+    within, name = candidates_within(similar), ["a", "b"]
+    lists, hubs = candidate_lists(classes, n, similar)
+    found = cut(_pairs(lists, within, 0, FIRST_RANKS))
+    edges = found.where("r < 0").select(*name)
+    edges = cut((edges if hubs is None else edges.union(hubs)).distinct())
+    good = cut(verified(edges, docs, sketch, similar, text_col, id_col))
+    dense, width = found.where("r >= 0").select(*_LIST).distinct(), FIRST_RANKS
+    dense = cut(lists.join(F.broadcast(dense) if dense.count() <= MAX_BROADCAST_NODES else dense, _LIST)) if dense.limit(1).count() else None
+    while dense is not None:
+        part = components(good)
+        rows = dense.drop("comp").join(part.select("node", F.col("component").alias("comp")), "node", "left")
+        rows = rows.withColumn("comp", F.coalesce("comp", "node"))
+        found = cut(_pairs(rows, within, width, 2 * width))
+        new = cut(found.where("r < 0").select(*name).distinct())
+        if new.limit(1).count():
+            good = cut(good.union(verified(new, docs, sketch, similar, text_col, id_col)))
+        more = found.where("r >= 0").select(*_LIST).distinct()
+        if not more.limit(1).count():
+            break
+        dense, width = cut(dense.join(more, _LIST, "left_semi")), 2 * width
+    return good
 
 
 def verified(edges: DataFrame, docs: DataFrame, sketch: DataFrame, similar: float, text_col: str, id_col: str) -> DataFrame:
@@ -261,9 +323,7 @@ def groups(docs: DataFrame, similar: float = SIMILAR, id_col="doc_id", text_col=
     s = scratch(docs.sparkSession, sketches(docs, id_col, text_col), "sketches")
     known = s.where("node is not null")
     classes = known.groupBy("node").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"))
-    edges = cut(candidate_edges(classes, classes.count(), similar))
-    links = cut(verified(edges, docs, known, similar, text_col, id_col))
-    part = components(links)
+    part = components(links(classes, docs, known, classes.count(), similar, id_col, text_col))
     first = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("k").alias("k"))
     of_class = known.groupBy("node").agg(F.min(first).alias("first"))
     of_class = of_class.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -252,7 +252,7 @@ def _score(docs: DataFrame, sent, buckets: int) -> DataFrame:
                 m = len(sizes)
                 batch = (part_no << 24) + n
                 n += 1
-                ids, miss = part.doc_id.fillna(0).to_numpy(np.int64), part.doc_id.isna().to_numpy()
+                ids, miss = part.doc_id.to_numpy(np.int64), part.miss.to_numpy(bool)
                 own = pack(ids, miss, part.train.to_numpy(bool), sizes, np.bincount(doc, known, m).astype(np.int64), np.bincount(doc, base, m), np.bincount(doc, logs, m))
                 rows = [(batch % buckets, batch, True, own)]
                 w, d, y = h[~known], doc[~known], part.train.to_numpy(bool)[doc[~known]]
@@ -313,10 +313,10 @@ def _score(docs: DataFrame, sent, buckets: int) -> DataFrame:
                 base[d] += b
                 score[d] += b
             yield pd.DataFrame(
-                {"doc_id": pd.array(np.where(miss, 0, ids), "Int64").copy(), "held_out": ~train, "n_tokens": sizes, "n_known": known, "train_tokens": total, "base_score": base, "score": score}
-            ).assign(doc_id=lambda f: f.doc_id.mask(miss))
+                {"doc_id": pd.arrays.IntegerArray(ids, miss), "held_out": ~train, "n_tokens": sizes, "n_known": known, "train_tokens": total, "base_score": base, "score": score}
+            )
 
-    out = docs.select("doc_id", "text", "train").mapInPandas(scan, "bucket int, batch long, own boolean, blob binary")
+    out = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("miss"), "text", "train").mapInPandas(scan, "bucket int, batch long, own boolean, blob binary")
     out = out.repartition(buckets, "bucket").mapInPandas(rare, "batch long, own boolean, blob binary")
     return out.repartition(buckets, "batch").mapInPandas(
         gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
