@@ -104,7 +104,8 @@ def _by_bucket(bucket: np.ndarray, n: int, *arrays: np.ndarray) -> list[tuple[in
 
 
 def _doc_bucket(k: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(k.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    """The bucket of a document, of its hash as the JVM reckons it: pmod(k, buckets)."""
+    return k % buckets
 
 
 def _later(keys: list[np.ndarray], ids: np.ndarray, k: np.ndarray, at: np.ndarray):
@@ -190,12 +191,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(8, -(-text_bytes(d, "text") // BATCH_BYTES))
     found = scratch(spark, _find(d, buckets), "repeats")
 
-    def place(k: pd.Series) -> pd.Series:
-        return pd.Series(_doc_bucket(k.to_numpy(np.int64), buckets).astype(np.int32))
-
-    # the same bucket in the JVM and in numpy: the bucket of a document is told once, by this function
-    db = F.pandas_udf(place, "int")
-    homed = d.withColumn("db", db("k")).repartition(buckets, "db")
+    homed = d.withColumn("db", F.pmod("k", F.lit(buckets)).cast("int")).repartition(buckets, "db")
 
     def contexts(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         find, begin, end, (first, last, trigger, what) = _flags(right.blob)
