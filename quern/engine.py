@@ -185,11 +185,14 @@ class Index:
         if ids:
             names = spark.createDataFrame([(i,) for i in set(ids)], "id string")
             given = given.unionByName(self.docs().join(F.broadcast(names), "id", "left_semi"))
-        rows = {r.id: list(r.queries) for r in pc.guard(pc.percolate(given, [(k, v[1]) for k, v in self._saved.items()], self.mapping, now))}
+        got = pc.guard(pc.percolate(given, [(k, v[1]) for k, v in self._saved.items()], self.mapping, now))
+        rows = {r.id: list(r.queries) for r in got}
+        inner = {(r.id, x): json.loads(i) for r in got for x, i in zip(r.queries, r.inner) if i}
         out = [{"found": True, "queries": rows[f"\x00{i}"]} for i in range(len(docs))]
         out += [{"id": i, "found": i in rows, "queries": rows.get(i, [])} for i in ids]
-        for r in out:
-            r["matches"] = [{"id": x, "version": self._saved[x][2]} for x in r["queries"]]
+        for i, r in enumerate(out):
+            at = r.get("id", f"\x00{i}")
+            r["matches"] = [{"id": x, "version": self._saved[x][2], **({"inner_hits": inner[at, x]} if (at, x) in inner else {})} for x in r["queries"]]
         took = time.time() - began
         return {"results": out, "took_ms": int(took * 1000), "took_us": int(took * 1e6)}
 

@@ -7,6 +7,7 @@ one class. Candidates are verified in Arrow batches; documents are shuffled at m
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 import pandas as pd
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.functions.match import compile_matcher, wants
 from quern.operators.compile import column
+from quern.operators.search import inner_specs
 from quern.plans import query as q
 from quern.plans.mapping import BOOL, DATE, KEYWORD, NUMBER, TEXT, Mapping, Refused
 
-MAX_MATCHES, MAX_BROADCAST_ANCHORS = 1_000_000, 2_000_000
+MAX_MATCHES, MAX_OFFSETS, MAX_BROADCAST_ANCHORS = 1_000_000, 100_000, 2_000_000
 Atom = tuple[str, str, str]  # kind, field, term
 
 
@@ -109,14 +111,29 @@ def document_atoms(mapping: Mapping, wanted: set[tuple[str, str]]) -> Column:
     return F.concat(*[F.coalesce(p, F.array().cast("array<struct<kind:string,field:string,term:string>>")) for p in parts])
 
 
+def inner_offsets(specs: dict, doc: dict) -> dict:
+    """Of each key of a query's inner hits: how many members hold, and the places of the first ones."""
+    out = {}
+    for key, s in specs.items():
+        tests = [compile_matcher(n, s["path"]) for n in s["queries"]]
+        members = doc.get(f"{s['path']}__o")
+        at = [i for i, o in enumerate(members if members is not None else ()) if o is not None and any(t(o) for t in tests)]
+        out[key] = {"total": len(at), "offsets": at[: s["size"]]}
+    return out
+
+
 def percolate(docs: DataFrame, queries: Iterable[tuple[str, object]], mapping: Mapping, now_ms: int, brute: bool = False) -> DataFrame:
-    """(id, queries: sorted ids of the matching saved queries) for every document of docs.
+    """(id, queries: sorted ids of the matching saved queries, inner: for each the JSON of its inner hits, or empty)
+    for every document of docs.
 
     queries: (id, tree), the list of saved queries, which the driver holds. brute verifies all of them everywhere."""
     spark = docs.sparkSession
     ids: dict[str, list[str]] = {}
     trees: dict[str, object] = {}
+    specs: dict[str, dict] = {}
     for name, tree in queries:
+        if found := inner_specs(tree, mapping):
+            specs[name] = {k: {**s, "queries": [q.resolve(n, mapping, now_ms) for n in s["queries"]]} for k, s in found.items()}
         key = q.canonical(tree)
         ids.setdefault(key, []).append(name)
         trees.setdefault(key, q.resolve(tree, mapping, now_ms))
@@ -143,12 +160,12 @@ def percolate(docs: DataFrame, queries: Iterable[tuple[str, object]], mapping: M
         found = docs.join(hits, "id", "left")
     else:
         found = docs.withColumn("classes", F.lit(None).cast("array<int>"))
-    sent = spark.sparkContext.broadcast(([trees[k] for k in classes], [sorted(ids[k]) for k in classes], always))
+    sent = spark.sparkContext.broadcast(([trees[k] for k in classes], [sorted(ids[k]) for k in classes], always, specs))
     names = [c for c in docs.columns if c not in ("body", "seq", "version")]
     found = found.select(*[column(c) for c in names], "classes")
 
     def verify(frames):
-        trees, ids, always = sent.value
+        trees, ids, always, specs = sent.value
         compiled: dict = {}
         for pdf in frames:
             out = []
@@ -161,10 +178,11 @@ def percolate(docs: DataFrame, queries: Iterable[tuple[str, object]], mapping: M
                         compiled[c] = compile_matcher(trees[c])
                     if compiled[c](doc):
                         match += ids[c]
-                out.append((row["id"], sorted(match)))
-            yield pd.DataFrame(out, columns=["id", "queries"])
+                match.sort()
+                out.append((row["id"], match, [json.dumps(inner_offsets(specs[m], doc)) if m in specs else "" for m in match]))
+            yield pd.DataFrame(out, columns=["id", "queries", "inner"])
 
-    return found.mapInPandas(verify, "id string, queries array<string>")
+    return found.mapInPandas(verify, "id string, queries array<string>, inner array<string>")
 
 
 def guard(matches: DataFrame) -> list:
@@ -172,4 +190,8 @@ def guard(matches: DataFrame) -> list:
     n = matches.agg(F.sum(F.size("queries"))).first()[0] or 0
     if n > MAX_MATCHES:
         raise Refused(("docs", f"{n} matches, more than {MAX_MATCHES}: send fewer documents"))
-    return matches.collect()
+    rows = matches.collect()
+    shown = sum(len(k["offsets"]) for r in rows for x in r.inner if x for k in json.loads(x).values())
+    if shown > MAX_OFFSETS:
+        raise Refused(("docs", f"{shown} inner hits, more than {MAX_OFFSETS}: send fewer documents"))
+    return rows

@@ -115,6 +115,13 @@ def test_percolation_equals_brute_force(world):
     assert got == want, SEED
 
 
+def test_percolated_inner_hits(spark):
+    i = Engine(spark).create_index("v", {"dynamic": "strict", "fields": MAPPING["fields"]})
+    i.put_query("n", {"nested": {"path": "_v", "query": {"field": "_v.price", "op": "lt", "value": 4}, "inner_hits": {"size": 1}}})
+    got = i.percolate(docs=[{"_v": [{"price": 9}, "x", {"price": 1}, {"price": 2}]}, {"_v": []}])["results"]
+    assert got[0]["matches"] == [{"id": "n", "version": 1, "inner_hits": {"_v": {"total": 2, "offsets": [2]}}}] and got[1]["queries"] == []
+
+
 def test_paging_and_inner_hits(spark, world):
     m, frame, docs, _ = world
     index = Engine(spark).over("w", frame, m)
