@@ -152,12 +152,14 @@ def from_columns(df: DataFrame, mapping: mp.Mapping, columns: dict[str, Column],
     norm, wordy = _udf(tx.normalize, "string"), _udf(tx.words, "string")
     lists = F.pandas_udf(lambda s: s.map(lambda v: None if v is None else sorted({tx.normalize(x) for x in v if x} - {""})), "array<string>")
 
-    def number(c: Column) -> Column:
+    def number(c: Column, kind: str) -> Column:
         d = c.cast("double")
+        if kind in ("tinyint", "smallint", "int"):  # always finite: bare, so that conditions reach the reader
+            return d
         return F.when(F.isnan(d) | (F.abs(d) == float("inf")), F.lit(None)).otherwise(d + F.lit(0.0))
 
     def date(c: Column, kind: str) -> Column:
-        return F.floor(F.unix_micros(c.cast("timestamp")) / 1000).cast("double") if kind.startswith(("timestamp", "date")) else number(c)
+        return F.floor(F.unix_micros(c.cast("timestamp")) / 1000).cast("double") if kind.startswith(("timestamp", "date")) else number(c, kind)
 
     kinds = dict(df.select(*[c.alias(n) for n, c in columns.items()]).dtypes)
     out = [id.cast("string").alias("id"), norm(id.cast("string")).alias("_id__t"), (body if body is not None else F.lit("{}")).alias("body"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("long").alias("version")]
@@ -171,7 +173,7 @@ def from_columns(df: DataFrame, mapping: mp.Mapping, columns: dict[str, Column],
         elif f.type == mp.LIST:
             out.append(lists(c).alias(f"{name}__e"))
         elif f.type in (mp.NUMBER, mp.DATE):
-            out.append((number(c) if f.type == mp.NUMBER else date(c, kinds[name])).alias(f"{name}__n"))
+            out.append((number(c, kinds[name]) if f.type == mp.NUMBER else date(c, kinds[name])).alias(f"{name}__n"))
         elif f.type == mp.BOOL:
             out.append(c.alias(f"{name}__b"))
         elif f.type == mp.POINT:
