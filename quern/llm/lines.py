@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACES, lower_ascii, row_key, table
+from quern.llm.common import SPACES, lower_ascii, row_key, scratch, table
 
 
 def line_key(line: Column) -> Column:
@@ -80,52 +80,36 @@ FROM marked GROUP BY doc_id
 
 
 def repeated_units(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per removed unit: its document, number, offsets in code points (start, end) and the unit that stays.
-
-    Units are lines (a paragraph of one line is one unit). A unit's digest is that of its words, A-Z lower-cased and
-    joined by one space, so white space and case do not part copies; units of fewer than min_words words always stay.
-    Of each digest the earliest unit by (id, unit number) stays: rank is the id, null ids last; rows that share an id
-    rank by unit number, then by offset, and of wholly equal units of repeated rows all are the earliest, so they stay.
-    Null and empty texts have no units. The hot side of the join holds one row per unit and Spark can split it."""
+    """One row per removed unit: its document, row key, number, offsets in code points (start, end; exclusive, without
+    the line feed) and the unit that stays.
+
+    Units are lines (a paragraph of one line is one unit). A unit's digest is that of its words, lower-cased and joined
+    by one space, so white space and case do not part copies; units of fewer than min_words words always stay. Of each
+    digest the earliest unit stays: by id (null last), unit number, then a hash of the row, which tells rows of one id
+    apart; of wholly equal units of repeated rows all are the earliest, so they stay. Null and empty texts have no
+    units. Texts are read once, into a table of digests; the hot side of the join holds one row per unit, and Spark
+    can split it."""
     lines = F.split(F.col(text_col), "\n", -1)
-    d = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("__k"), F.posexplode(lines).alias("unit_no", "line")
-    )
-    words = F.trim(F.regexp_replace(lower_ascii(F.col("line")), r"[\x20\x09-\x0D]+", " "))
-    d = d.select("doc_id", "__k", "unit_no", F.char_length("line").alias("n_chars"), words.alias("words"))
-    d = d.withColumn("long", F.char_length("words") - F.char_length(F.translate("words", " ", "")) >= min_words - 1)
-    digest = F.when(F.col("long"), F.unhex(F.md5("words")))
-    units = d.select("doc_id", "__k", "unit_no", "n_chars", digest.alias("digest"))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("unit_no").alias("unit_no"), F.col("__k").alias("k"))
-    first = units.where("digest is not null").groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = units.where("digest is not null").join(first, "digest").where(rank != F.col("first"))
-    return hits.select("doc_id", "__k", F.col("unit_no"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit_no").alias("first_unit_no"))
+    words = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09-\x0D]+", " ")))
+    long_ones = F.transform(words, lambda w: F.when(F.char_length(w) - F.char_length(F.replace(w, F.lit(" "), F.lit(""))) >= min_words - 1, F.unhex(F.md5(w))))
+    starts = F.aggregate(lines, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(x) + 1)))
+    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("__k"), long_ones.alias("digests"), starts.alias("starts"))
+    d = scratch(docs.sparkSession, d, "units")
+    units = d.select("doc_id", F.xxhash64("__k").alias("kh"), F.posexplode("digests").alias("unit_no", "digest")).where("digest is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("unit_no").alias("unit_no"), F.col("kh").alias("kh"))
+    first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    at = d.select("doc_id", "__k", "starts", F.posexplode("digests").alias("unit_no", "digest")).where("digest is not null")
+    at = at.select("doc_id", "__k", F.xxhash64("__k").alias("kh"), "unit_no", "digest", F.get("starts", F.col("unit_no")).alias("start"), (F.get("starts", F.col("unit_no") + 1) - 1).alias("end"))
+    hits = at.join(first, "digest").where(rank != F.col("first"))
+    return hits.select("doc_id", "__k", "unit_no", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit_no").alias("first_unit_no"))
 
 
 def with_repeats(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with __removed: the removed units as structs (unit_no, start, end, first_doc_id, first_unit_no), offsets
-    of the input in code points, end exclusive and without the line feed; null where nothing goes."""
+    of the input in code points; null where nothing goes."""
     hits = repeated_units(docs, min_words, id_col, text_col)
-    per = hits.groupBy("__k").agg(F.array_sort(F.collect_set(F.struct("unit_no", "first_doc_id", "first_unit_no"))).alias("__hits"))
-    out = docs.withColumn("__k", row_key(id_col, text_col)).join(per, "__k", "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    ends = F.aggregate(
-        lines,
-        F.array(F.lit(-1)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(x) + 1)),
-    )
-    out = out.withColumn("__ends", F.when(F.col("__hits").isNotNull(), ends))
-    removed = F.transform(
-        "__hits",
-        lambda h: F.struct(
-            h["unit_no"].alias("unit_no"),
-            (F.element_at("__ends", h["unit_no"] + 1) + 1).alias("start"),
-            F.element_at("__ends", h["unit_no"] + 2).alias("end"),
-            h["first_doc_id"].alias("first_doc_id"),
-            h["first_unit_no"].alias("first_unit_no"),
-        ),
-    )
-    return out.withColumn("__removed", removed).drop("__k", "__hits", "__ends")
+    per = hits.groupBy("__k").agg(F.array_sort(F.collect_set(F.struct("unit_no", "start", "end", "first_doc_id", "first_unit_no"))).alias("__removed"))
+    return docs.withColumn("__k", row_key(id_col, text_col)).join(per, "__k", "left").drop("__k")
 
 
 def dedup_units(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,9 +122,9 @@ def dedup_units(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", tex
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per removed unit; offsets are code points of the input text."""
-    out = with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    r = out.where("__removed is not null").select("doc_id", F.explode("__removed").alias("r"))
-    return r.select("doc_id", *[F.col(f"r.{c}").cast("long").alias(n) for c, n in (("unit_no", "unit_no"), ("start", "start_at"), ("end", "end_at"), ("first_doc_id", "first_doc_id"), ("first_unit_no", "first_unit_no"))])
+    r = repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = {"unit_no": "unit_no", "start": "start_at", "end": "end_at", "first_doc_id": "first_doc_id", "first_unit_no": "first_unit_no"}
+    return r.select("doc_id", *[F.col(c).cast("long").alias(n) for c, n in names.items()])
 
 
 OP3_SQL = f"""
@@ -150,7 +134,7 @@ WITH lines AS (
 ), placed AS (
   SELECT doc_id, unit_no, line,
          coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at,
-         array_to_string(regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+'), ' ') AS words,
+         array_to_string(regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+'), ' ') AS words,
          len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n_words
   FROM lines
 ), ranked AS (

@@ -32,8 +32,7 @@ def test_unit_dedup(docs, corpus):
         k = hashlib.md5(f"{'-' if last else i}\x01t{text}".encode()).hexdigest()
         at = 0
         for n, line in enumerate(text.split("\n")):
-            w = line.translate(LOWER).split()
-            w = " ".join(x for x in key(line).replace("\t", " ").split(" ") if x) if w else ""
+            w = " ".join(x for x in line.lower().replace("\t", " ").split(" ") if x)
             if len(w.split(" ")) >= 8:
                 rank = (last, i, n, k)
                 units.append((w, rank, at, at + len(line)))
