@@ -152,15 +152,13 @@ def _strips(f: np.ndarray, r: int, first: int, last: int) -> np.ndarray:
     return key
 
 
-def candidate_lists(classes: DataFrame, n: int, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame | None]:
-    """Lists of classes(node, f0, f1) to be compared, as rows (r, key, lo, hi, block, node, f0, f1), and pairs (a, b)
-    of members with their list's first one where a list had to be filtered further.
+def candidate_lists(classes: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
+    """Lists of classes(node, f0, f1) to be compared, as rows (r, key, lo, hi, block, node, f0, f1).
 
-    Recursion: a fingerprint passes one filter on each strip; lists that stay larger than MOST are filtered on further
-    strips of their repeat, after each of their members was held against the list's first one; equal fingerprints,
-    which no strip parts, are dealt into pairs of blocks."""
+    Recursion: a fingerprint passes one filter on each strip of a repeat, as many strips as planned for n. Lists of more
+    than MOST are dealt into pairs of blocks: filtering them on further strips would part pairs that the planned repeats
+    are to find."""
     levels, repeats = plan(n, similar)
-    within = candidates_within(similar)
 
     def deal(frames):
         for pdf in frames:
@@ -168,45 +166,31 @@ def candidate_lists(classes: DataFrame, n: int, similar: float = SIMILAR) -> tup
             for r in range(repeats):
                 yield pd.DataFrame({"r": np.int32(r), "key": _strips(f, r, 0, levels), "node": pdf.node.to_numpy(), "f0": f[:, 0], "f1": f[:, 1]})
 
-    schema = "r int, key long, node long, f0 long, f1 long"
-    rows = classes.select("node", "f0", "f1").mapInPandas(deal, schema)
-    done, hubs, level = [], [], levels
-    while True:
-        large = rows.groupBy("r", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "f0", "f1")).alias("hub")).where(F.col("n") > MOST)
-        large = cut(large)
-        if level >= BITS // STRIP or not large.limit(1).count():
-            done.append(rows)
-            break
-        done.append(rows.join(large.select("r", "key"), ["r", "key"], "left_anti"))
-        rows = rows.join(large.select("r", "key", "hub"), ["r", "key"])
-        apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("hub.f0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("hub.f1")))
-        hubs.append(rows.where((apart <= within) & (F.col("node") != F.col("hub.node"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
-
-        def deeper(frames, level=level):
-            for pdf in frames:
-                f, r, key = pdf[["f0", "f1"]].to_numpy(np.int64), pdf.r.to_numpy(), pdf.key.to_numpy(np.int64).copy()
-                for x in np.unique(r):
-                    key[r == x] = key[r == x] * 16 + _strips(f[r == x], int(x), level, level + 1)
-                yield pdf.assign(key=key)[["r", "key", "node", "f0", "f1"]]
-
-        rows = rows.select("r", "key", "node", "f0", "f1").mapInPandas(deeper, schema)
-        level += 1
-        if level % 15 == 0:  # 60 bits of key are used up: start the next ones from a hash of the list
-            rows = rows.withColumn("key", F.shiftright(F.xxhash64("key"), 60))
-    all_rows = done[0]
-    for d in done[1:]:
-        all_rows = all_rows.union(d)
-
-    extra = None
-    for h in hubs:
-        h = h.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        extra = h if extra is None else extra.union(h)
-    return split_hot(all_rows, ["r", "key"], "node", MOST), extra
+    rows = classes.select("node", "f0", "f1").mapInPandas(deal, "r int, key long, node long, f0 long, f1 long")
+    return split_hot(rows, ["r", "key"], "node", MOST)
 
 
 _LIST = ["r", "key", "lo", "hi"]
 
 
+def _apart(f: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints (n, 2) differ, each with each; some rows at a time, as a pair of blocks is large."""
+    d = np.empty((len(f), len(f)), np.uint8)
+    for lo in range(0, len(f), 256):
+        part = f[lo : lo + 256]
+        d[lo : lo + 256] = np.bitwise_count(part[:, 0][:, None] ^ f[:, 0][None]) + np.bitwise_count(part[:, 1][:, None] ^ f[:, 1][None])
+    return d
+
+
+def _ranks(d: np.ndarray) -> np.ndarray:
+    """The rank of each distance in its row."""
+    rank = np.empty(d.shape, np.int32)
+    for lo in range(0, len(d), 256):
+        order = np.argsort(d[lo : lo + 256], axis=1, kind="stable")
+        np.put_along_axis(rank[lo : lo + 256], order, np.arange(d.shape[1], dtype=np.int32)[None], 1)
+    return rank
+
+
 def _pairs(lists: DataFrame, within: int, low: int, high: int) -> DataFrame:
     """(a, b, then the list's key): of every list the pairs within the candidate distance that are among the low to
     high nearest of either, their components (column comp, where there is one) apart; from the first ranks on also a
@@ -215,7 +199,7 @@ def _pairs(lists: DataFrame, within: int, low: int, high: int) -> DataFrame:
 
     def compare(g: pd.DataFrame) -> pd.DataFrame | None:
         f, node = np.ascontiguousarray(g[["f0", "f1"]].to_numpy(np.int64)).view(np.uint64), g.node.to_numpy()
-        d = np.bitwise_count(f[:, 0][:, None] ^ f[:, 0][None]) + np.bitwise_count(f[:, 1][:, None] ^ f[:, 1][None])
+        d = _apart(f)
         if g.lo.iloc[0] != g.hi.iloc[0]:
             block = g.block.to_numpy()
             d[block[:, None] == block[None]] = 255
@@ -227,10 +211,10 @@ def _pairs(lists: DataFrame, within: int, low: int, high: int) -> DataFrame:
         near, d, node = near[np.ix_(has, has)], d[np.ix_(has, has)], node[has]
         degree = near.sum(1)
         if degree.max() > high:
-            rank = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable")
+            rank = _ranks(d)
             now, later = near & (rank >= low) & (rank < high), near & (rank >= high)
         else:
-            now, later = (near, None) if not low else (near & (np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable") >= low), None)
+            now, later = (near, None) if not low else (near & (_ranks(d) >= low), None)
         if with_comp:
             comp = g.comp.to_numpy()[has]
             apart = comp[:, None] != comp[None]
@@ -238,7 +222,7 @@ def _pairs(lists: DataFrame, within: int, low: int, high: int) -> DataFrame:
             later = later & apart if later is not None else None
         a, b = np.nonzero(np.triu(now | now.T))
         if not low and later is not None:
-            tree = forest(d.astype(np.float64), within)
+            tree = forest(d, within)
             a, b = np.concatenate([tree[:, 0], a]), np.concatenate([tree[:, 1], b])
         out = pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "r": -1, "key": 0, "lo": 0, "hi": 0})
         if later is not None and later.any():
@@ -259,10 +243,9 @@ def links(classes: DataFrame, docs: DataFrame, sketch: DataFrame, n: int, simila
     many at a time, with pairs of which the links found so far don't connect both sides: in a group of thousands of
     copies hardly any are left, and no candidate pair across groups is passed over."""
     within, name = candidates_within(similar), ["a", "b"]
-    lists, hubs = candidate_lists(classes, n, similar)
+    lists = candidate_lists(classes, n, similar)
     found = cut(_pairs(lists, within, 0, FIRST_RANKS))
-    edges = found.where("r < 0").select(*name)
-    edges = cut((edges if hubs is None else edges.union(hubs)).distinct())
+    edges = cut(found.where("r < 0").select(*name).distinct())
     good = cut(verified(edges, docs, sketch, similar, text_col, id_col))
     dense, width = found.where("r >= 0").select(*_LIST).distinct(), FIRST_RANKS
     dense = cut(lists.join(F.broadcast(dense) if dense.count() <= MAX_BROADCAST_NODES else dense, _LIST)) if dense.limit(1).count() else None

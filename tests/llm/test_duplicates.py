@@ -102,6 +102,25 @@ def test_simhash(spark, near, none, docs, monkeypatch):
     assert out.columns == docs.columns and out.groupBy("doc_id", "text").count().where("count > 1 and text is not null and text rlike '[a-z]'").count() == 0
 
 
+def test_simhash_large_lists_lose_no_pair(spark, near, monkeypatch):
+    """Lists above MOST find what one task finds, also of pairs just at the threshold."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(200):
+        base = [word() for _ in range(120)]
+        copy = list(base)
+        for i in (20, 60):
+            copy[i] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    pairs, copies = (spark.createDataFrame(list(enumerate(t)), "doc_id long, text string") for t in (texts, near))
+    found = lambda df: {x.id: x.group_id for x in simhash.groups(df).collect()}
+    want = found(pairs), found(copies)
+    assert len(set(want[0].values())) < 220
+    monkeypatch.setattr(simhash, "MOST", 20)
+    assert (found(pairs), found(copies)) == want
+
+
 def test_recall_at_the_threshold():
     """The share of pairs just similar enough that some repeat brings together."""
     rng, p = np.random.default_rng(0), simhash._bits_apart(0.8)
