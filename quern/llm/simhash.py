@@ -50,17 +50,37 @@ def _decode() -> np.ndarray:
     return out
 
 
+def _meets(levels: int, within: int) -> np.ndarray:
+    """The chance that fingerprints 0 to within bits apart pass the same filters on all strips of one repeat: the sum
+    over the ways in which the bits that differ fall into the strips."""
+    code, same = _decode(), np.zeros(STRIP + 1)
+    for e in range(128):
+        same[e.bit_count()] += (code == code[np.arange(128) ^ e]).mean()
+    ways, rest = np.ones(1), BITS - STRIP * levels
+    for _ in range(levels):
+        ways = np.convolve(ways, same)
+    return np.array([sum(ways[k] * math.comb(rest, d - k) for k in range(min(d + 1, len(ways)))) / math.comb(BITS, d) for d in range(within + 1)])
+
+
 def plan(n: int, similar: float = SIMILAR) -> tuple[int, int]:
-    """Levels of recursion for n fingerprints and repeats to reach RECALL."""
-    levels = max(1, round(math.log(max(n / LEAF, 1), 16)))
-    p, same = _bits_apart(similar), 0.0
-    code = _decode()
-    for x in range(128):
-        for e in range(128):
-            if code[x] == code[x ^ e]:
-                w = e.bit_count()
-                same += p**w * (1 - p) ** (7 - w) / 128
-    return levels, math.ceil(math.log(1 - RECALL) / math.log(1 - same**levels))
+    """Levels of recursion for n fingerprints and repeats to reach RECALL, over all distances that pairs just at the
+    threshold can have: all repeats are of one fingerprint, so pairs further apart than the mean meet less often."""
+    levels = min(max(1, round(math.log(max(n / LEAF, 1), 16))), BITS // STRIP)
+    p, within = _bits_apart(similar), candidates_within(similar)
+    meets = _meets(levels, within)
+    share = np.array([math.comb(BITS, d) * p**d * (1 - p) ** (BITS - d) for d in range(within + 1)])
+
+    def missed(repeats: int) -> float:
+        return 1 - share @ (1 - (1 - meets) ** repeats)
+
+    high = 1
+    while missed(high) > 1 - RECALL:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if missed(middle) > 1 - RECALL else (low, middle)
+    return levels, high
 
 
 def shingle_sets(texts) -> list[np.ndarray]:

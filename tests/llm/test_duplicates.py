@@ -134,6 +134,20 @@ def test_recall_at_the_threshold():
     assert met.mean() > 0.95
 
 
+@pytest.mark.parametrize("n", [10_000, 100_000, 1_000_000, 10_000_000, 100_000_000])
+def test_recall_holds_at_every_size(n):
+    rng, p = np.random.default_rng(1), simhash._bits_apart(0.8)
+    levels, repeats_ = simhash.plan(n)
+    a = rng.integers(0, 2, (10_000, 128), dtype=np.uint8)
+    e = rng.random(a.shape) < p
+    f, g = (np.packbits(x.astype(np.uint8), axis=1).view(np.int64) for x in (a, a ^ e))
+    met = np.zeros(len(a), bool)
+    for r in range(repeats_):
+        met |= simhash._strips(f, r, 0, levels) == simhash._strips(g, r, 0, levels)
+    met &= e.sum(1) <= simhash.candidates_within(0.8)
+    assert met.mean() > simhash.RECALL - 0.006
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 32))
