@@ -31,16 +31,17 @@ def _unit(vectors, dim: int) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def learn(x: np.ndarray, rotations: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """The mean and, per rotation, the (dim, BITS) projection whose signs are the code: principal axes, then a rotation
-    turned again and again to lessen the distance of the data to the corners of the cube."""
-    mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
-    z, rng, out = x - mean, np.random.default_rng(seed), []
-    axes = np.linalg.svd(z.T @ z)[0][:, :BITS] if len(x) else np.eye(x.shape[1])[:, :BITS]
-    p = z @ axes
-    k = axes.shape[1]
+def learn(x: np.ndarray, rotations: int, seed: int = 3) -> np.ndarray:
+    """Per rotation the (dim, BITS) projection whose signs are the code: a basis of the space (a random one of BITS
+    dimensions where it has more), turned again and again to lessen the distance of the data to the corners of the cube.
+
+    Nothing is taken off and no axis is dropped for all rotations: what two vectors share in a mean or in minor axes
+    is part of their cosine, and without it the angle that tables_for() reckons with would be wider."""
+    rng, out, dim = np.random.default_rng(seed), [], x.shape[1]
+    k = min(dim, BITS)
     for _ in range(rotations):
-        bits = []
+        axes = np.linalg.qr(rng.standard_normal((dim, k)))[0] if dim > BITS else np.eye(dim)
+        p, bits = x @ axes, []
         for _ in range(-(-BITS // k)):
             r = np.linalg.qr(rng.standard_normal((k, k)))[0]
             for _ in range(ROUNDS):
@@ -48,7 +49,7 @@ def learn(x: np.ndarray, rotations: int, seed: int = 3) -> tuple[np.ndarray, np.
                 r = (u @ vt).T
             bits.append(axes @ r)
         out.append(np.hstack(bits)[:, :BITS])
-    return mean, np.stack(out)
+    return np.stack(out)
 
 
 def tables_for(n: int, threshold: float) -> tuple[int, int]:
@@ -80,14 +81,12 @@ def linked(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", v
     rotations = -(-n_tables // per)
     sample = classes if total <= MAX_FIT else classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(MAX_FIT / total * (1 << 30)))
     x = _unit(sample.select("v").toPandas().v.tolist(), dim)
-    mean, planes = learn(x[np.lexsort(x.T[::-1])], rotations)
-    sent = spark.sparkContext.broadcast((mean, planes))
+    sent = spark.sparkContext.broadcast(learn(x[np.lexsort(x.T[::-1])], rotations))
     weigh = (np.uint64(1) << np.arange(BITS, dtype=np.uint64)).astype(np.uint64)
     low = np.uint64((1 << bits) - 1)
 
     def codes(x: np.ndarray) -> np.ndarray:
-        mean, planes = sent.value
-        return np.stack([((x - mean) @ p >= 0) @ weigh for p in planes], 1)
+        return np.stack([(x @ p >= 0) @ weigh for p in sent.value], 1)
 
     def keys(code: np.ndarray) -> np.ndarray:
         """(vectors, tables) keys."""

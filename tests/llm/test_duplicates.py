@@ -172,6 +172,21 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("dim", [64, 128])
+def test_embeddings_with_a_common_mean(spark, dim):
+    """Pairs at cosine 0.90 to 0.92 of vectors that share a direction, as embeddings of text mostly do."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(np.sqrt(0.4) * unit(rng.standard_normal((1500, dim))) + np.sqrt(0.6) * np.eye(dim)[0])
+    e = rng.standard_normal(x.shape)
+    e = unit(e - (e * x).sum(1, keepdims=True) * x)
+    c = rng.uniform(0.9001, 0.92, (len(x), 1))
+    x = np.concatenate([x, c * x + np.sqrt(1 - c * c) * e])
+    got = embeddings.linked(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    links = x @ x.T >= 0.9
+    assert sum(r.n_links for r in got.collect()) >= 0.97 * (links.sum() - len(x))
+
+
 def test_blocks_meet_every_pair(spark):
     df = spark.range(50).select(F.lit(1).alias("key"), F.col("id").alias("c"))
     pairs = defaultdict(int)
