@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import scratch
+
 
 def by_key(df: DataFrame, key: list[str], each: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
     """each() over the rows of every key, as mapInPandas over partitions sorted by key: no Python call a group through
@@ -46,8 +48,10 @@ def by_key(df: DataFrame, key: list[str], each: Callable[[pd.DataFrame], pd.Data
 def split_hot(rows: DataFrame, key: list[str], member: str, most: int) -> DataFrame:
     """rows with lo and hi: groups of up to most rows as they are (0, 0); larger ones dealt into blocks, and each pair
     of blocks is a group of its own. Every pair of rows of a key meets in one group (of blocks lo and hi; within a
-    block where lo = hi), so nothing is capped; a group holds about 2 * most rows."""
+    block where lo = hi), so nothing is capped; a group holds about 2 * most rows. The sizes of the larger groups
+    are a written table, which Spark broadcasts below its threshold only."""
     hot = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    hot = scratch(rows.sparkSession, hot, "hot")
     g = F.ceil(F.coalesce(F.col("__n"), F.lit(1)) / most).cast("int")
     rows = rows.join(hot, key, "left").withColumn("__g", g)
     rows = rows.withColumn("block", F.pmod(F.xxhash64(member), F.col("__g")).cast("int"))

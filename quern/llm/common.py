@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,37 +19,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and backticks in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def every(df: DataFrame) -> list[Column]:
+    """All columns of df by their exact names."""
+    return [named(c) for c in df.columns]
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no column of an operator can clash with them; `row.*` unpacks it."""
+    return F.struct(*every(df)).alias("row")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; one of our own where it is unset (local runs)."""
+    """The folder in spark.checkpoint.dir, which every executor sees. Where it is unset, one of our own if driver and
+    executors are one process; on a cluster that is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         if not sc.getCheckpointDir():
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _on_disk(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def scratch(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts lineage, survives lost executors."""
+    """df as a table written to the shared folder: cuts lineage, survives lost executors. It goes when the application
+    ends, or earlier by discard()."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _on_disk(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that scratch() wrote and that nothing reads any more."""
+    for df in tables:
+        fs, at = _on_disk(df.sparkSession, df._scratch)
+        fs.delete(at, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def some(df: DataFrame) -> bool:
+    """Whether df has a row."""
+    return df.limit(1).count() > 0
 
 
 def row_key(id_col: str, text_col: str) -> Column:
     """Tells rows apart by id and whole text; repeated rows share it, null and empty differ."""
     return F.md5(
         F.concat(
-            F.coalesce(F.col(id_col).cast("string"), F.lit("-")),
+            F.coalesce(named(id_col).cast("string"), F.lit("-")),
             F.lit("\x01"),
-            F.coalesce(F.concat(F.lit("t"), F.col(text_col)), F.lit("n")),
+            F.coalesce(F.concat(F.lit("t"), named(text_col)), F.lit("n")),
         )
     )
 
@@ -60,12 +95,12 @@ def lower_ascii(c: Column) -> Column:
 
 def modulus(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
+    return F.crc32(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """UTF-8 bytes of all texts: what sizes partitions."""
-    return int(df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)
+    return int(df.agg(F.sum(F.octet_length(named(text_col)))).first()[0] or 0)
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -114,15 +149,16 @@ class Lookup:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node long, component long): the smallest node reachable over undirected edges (a, b).
+    """(node long, component long): the smallest node reachable over undirected edges (a, b), as a scratch table.
 
     Rounds of: every node takes the least label of its neighbours, then the label of its label. Both are
     groupBy-min or joins on a node, so a hub costs a skewed join that Spark splits, never a list in one task.
-    Each round is checkpointed. No edges: no rows."""
+    Each round is a written table, and the one before it goes. No edges: no rows."""
+    spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = cut(both)
+    both = scratch(spark, both, "edges")
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
-    label = cut(label)
+    label = scratch(spark, label, "labels")
     while True:
         heard = (
             both.join(label.select(F.col("node").alias("b"), F.col("component").alias("c")), "b")
@@ -132,8 +168,9 @@ def components(edges: DataFrame) -> DataFrame:
         new = label.join(heard, "node").select("node", F.col("component").alias("was"), F.least("component", "heard").alias("c"))
         up = label.select(F.col("node").alias("c"), F.col("component").alias("above"))
         new = new.join(up, "c").select("node", "was", F.least("c", "above").alias("component"))
-        new = cut(new)
-        changed = new.where("component <> was").limit(1).count()
-        label = new.select("node", "component")
-        if not changed:
-            return label
+        new = scratch(spark, new, "labels")
+        discard(label)
+        if not some(new.where("component <> was")):
+            discard(both)
+            return new.select("node", "component")
+        label = new

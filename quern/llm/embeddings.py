@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.blocks import by_key, forest, split_hot
-from quern.llm.common import components, cut, table
+from quern.llm.common import components, discard, named, scratch, table
 
-#: Vectors that the rotations are learned on, at most; rounds of learning; bits of a code.
-MAX_FIT, ROUNDS, BITS = 10_000, 30, 64
+#: Vectors that the rotations are learned on, at most, and their bytes; rounds of learning; bits of a code.
+MAX_FIT, MAX_FIT_BYTES, ROUNDS, BITS = 10_000, 64_000_000, 30, 64
 #: Share of the pairs just at the threshold that the tables are to find; vectors of one group compared in a task.
 RECALL, MOST = 0.98, 2_000
+#: A group with more candidate pairs than this for each of its vectors is compared where it lies, with the vectors.
+SPARSE = 4
 
 
 def _sound(v: Column) -> Column:
@@ -59,95 +61,185 @@ def tables_for(n: int, threshold: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - one))
 
 
+def candidates_within(threshold: float) -> int:
+    """Hamming distance of whole codes that pairs at the threshold stay within but for one in ten thousands."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
+
+
+class Tables:
+    """The multi-index tables: rotations of BITS bits each, cut into keys."""
+
+    def __init__(self, rotations: np.ndarray, bits: int, n: int, within: int):
+        self.rotations, self.bits, self.n, self.within, self.per = rotations, bits, n, within, BITS // bits
+        self.low = np.uint64((1 << bits) - 1)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """(vectors, rotations) codes."""
+        return np.stack([np.packbits(x @ p >= 0, axis=1, bitorder="little").view(np.uint64)[:, 0] for p in self.rotations], 1)
+
+    def place(self, t: int) -> tuple[int, np.uint64]:
+        """The rotation of a table, and the shift of its key."""
+        return t // self.per, np.uint64(t % self.per * self.bits)
+
+    def meet(self, a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
+        """Whether codes, which broadcast, are candidates of table t: equal keys, whole codes within the distance."""
+        r, shift = self.place(t)
+        x = a[..., r] ^ b[..., r]
+        return (((x >> shift) & self.low) == 0) & (np.bitwise_count(x) <= self.within)
+
+    def earlier(self, a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
+        """Whether codes are candidates of a table before t."""
+        out = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), bool)
+        for s in range(t):
+            out |= self.meet(a, b, s)
+        return out
+
+
+_GROUP = ["table", "key", "lo", "hi"]
+
+
+def _candidates(rows: DataFrame, tables: Tables) -> DataFrame:
+    """(a, b, table) for the candidate pairs of sparse groups, (table, key, lo, hi, block, node) for the members of
+    dense ones (a is null)."""
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame | None:
+        code, node, block = g.code.to_numpy().view(np.uint64), g.node.to_numpy(), g.block.to_numpy()
+        near = np.empty((len(g), len(g)), bool)
+        for lo in range(0, len(g), 256):
+            near[lo : lo + 256] = np.bitwise_count(code[lo : lo + 256, None] ^ code[None]) <= tables.within
+        if g.lo.iloc[0] != g.hi.iloc[0]:
+            near &= block[:, None] != block[None]
+        np.fill_diagonal(near, False)
+        has = np.flatnonzero(near.any(1))
+        if not len(has):
+            return None
+        one = {c: int(g[c].iloc[0]) for c in _GROUP}
+        if near.sum() // 2 <= SPARSE * len(has):
+            a, b = np.nonzero(np.triu(near))
+            return pd.DataFrame(one | {"block": 0, "node": -1, "a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+        return pd.DataFrame(one | {"block": block[has], "node": node[has], "a": -1, "b": -1})
+
+    return by_key(rows, _GROUP, compare, "table int, key long, lo int, hi int, block int, node long, a long, b long")
+
+
+def _sparse_links(pairs: DataFrame, vectors: DataFrame, tables: Tables, threshold: float, dim: int) -> DataFrame:
+    """(a, b, na, nb, new) of the candidate pairs that are links; new where no dense group counts the pair."""
+
+    @F.pandas_udf("link boolean, new boolean")
+    def compare(ra: pd.Series, rb: pd.Series, ca: pd.Series, cb: pd.Series, t: pd.Series) -> pd.DataFrame:
+        link, new = np.zeros(len(t), bool), np.zeros(len(t), bool)
+        for lo in range(0, len(t), 1000):
+            here = slice(lo, lo + 1000)
+            va, vb = ([np.frombuffer(x, np.float64) for x in r.iloc[here]] for r in (ra, rb))
+            size = np.array([len(x) == len(y) for x, y in zip(va, vb)], bool)
+            link[here] = size & ((_unit(va, dim) * _unit(vb, dim)).sum(1) >= threshold)
+            a, b = (np.stack([np.frombuffer(x, np.uint64) for x in c.iloc[here]]) for c in (ca, cb))
+            for k in np.unique(t.iloc[here]):
+                at = lo + np.flatnonzero(t.iloc[here].to_numpy() == k)
+                new[at] = ~tables.earlier(a[at - lo], b[at - lo], int(k))
+        return pd.DataFrame({"link": link, "new": new})
+
+    side = lambda x: vectors.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("raw").alias("r" + x), F.col("codes").alias("c" + x))
+    out = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("got", compare("ra", "rb", "ca", "cb", "table"))
+    return out.where("got.link").select("a", "b", "na", "nb", F.col("got.new").alias("new"))
+
+
+def _dense_links(members: DataFrame, vectors: DataFrame, tables: Tables, threshold: float, dim: int) -> DataFrame:
+    """(a, b, links): a spanning forest of each dense group's links (links 0), and of its vectors (a = b) the links that
+    no earlier table has."""
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame | None:
+        node, n, block, t = g.node.to_numpy(), g.n.to_numpy(), g.block.to_numpy(), int(g.table.iloc[0])
+        arrays = [np.frombuffer(b, np.float64) for b in g.raw]
+        x, size = _unit(arrays, dim), np.array([len(a) for a in arrays])
+        codes = np.stack([np.frombuffer(c, np.uint64) for c in g.codes])
+        links, count = np.zeros((len(g), len(g)), bool), np.zeros(len(g), np.int64)
+        for lo in range(0, len(g), 256):
+            here = slice(lo, lo + 256)
+            part = (x[here] @ x.T >= threshold) & (size[here, None] == size[None]) & (node[here, None] != node[None])
+            if g.lo.iloc[0] != g.hi.iloc[0]:
+                part &= block[here, None] != block[None]
+            part &= tables.meet(codes[here, None], codes[None], t)
+            links[here] = part
+            count[here] = (part & ~tables.earlier(codes[here, None], codes[None], t)) @ n
+        if not links.any():
+            return None
+        tree, told = forest(np.where(links, 0.0, 9.0), 1.0), np.flatnonzero(count)
+        return pd.DataFrame(
+            {"a": np.concatenate([node[tree[:, 0]], node[told]]), "b": np.concatenate([node[tree[:, 1]], node[told]]), "links": np.concatenate([np.zeros(len(tree), np.int64), count[told]])}
+        )
+
+    return by_key(members.join(vectors, "node"), _GROUP, compare, "a long, b long, links long")
+
+
 def linked(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite parts link with nothing; vectors of different
     lengths don't link. Equal vectors are one class with a count, so a vector said a million times costs one row; a
-    row's links are the others of its class and all rows of the classes linked with it. Candidates are classes that
-    share a key in one of the tables; every candidate pair is compared in double precision where it meets, counted
-    in the first table that it shares, and only a spanning forest of a group's links leaves the task. Groups of more
-    than MOST classes are dealt into pairs of blocks. Rotations are learned on a hash sample of MAX_FIT classes; all
-    rows are indexed. Repeated ids count as vectors of their own. No rows give no rows."""
+    row's links are the others of its class and all rows of the classes linked with it. component_id is the least id
+    that is not null of what links connect; where all ids of a component are null, it is null and all its rows are kept.
+    Repeated ids count as vectors of their own. No rows give no rows.
+
+    Into the tables go nodes and codes, not vectors. Classes that share a key in a table and whose whole codes are near
+    are candidates; in groups with few of them they leave as pairs, each once, and are compared in double precision with
+    the vectors; in groups with many the vectors come to the group, are compared there, and only their numbers of links
+    and a spanning forest leave the task. Either way a pair counts in the first table that has it as candidate. Groups of
+    more than MOST classes are dealt into pairs of blocks. Rotations are learned on a hash sample of MAX_FIT classes at
+    most, all rows are indexed."""
     spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).alias("id"), F.transform(F.col(vec_col), lambda x: x + F.lit(0.0).cast("float")).alias("v"))
+    v = vectors.select(named(id_col).alias("id"), F.transform(named(vec_col), lambda x: x + F.lit(0.0).cast("float")).alias("v"))
     good = v.where(_sound(F.col("v")))
-    classes = good.groupBy("v").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("n"))
-    classes = classes.select(F.coalesce("c", F.xxhash64("v")).alias("c"), "n", "v")
+    classes = good.groupBy("v").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id())
+    classes = scratch(spark, classes, "classes")
     total, dim = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     dim = dim or 1
     bits, n_tables = tables_for(total, threshold)
-    per = BITS // bits
-    rotations = -(-n_tables // per)
-    sample = classes if total <= MAX_FIT else classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(MAX_FIT / total * (1 << 30)))
+    most = max(1, min(MAX_FIT, MAX_FIT_BYTES // (8 * dim)))
+    sample = classes if total <= most else classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(most / total * (1 << 30)))
     x = _unit(sample.select("v").toPandas().v.tolist(), dim)
-    sent = spark.sparkContext.broadcast(learn(x[np.lexsort(x.T[::-1])], rotations))
-    weigh = (np.uint64(1) << np.arange(BITS, dtype=np.uint64)).astype(np.uint64)
-    low = np.uint64((1 << bits) - 1)
-
-    def codes(x: np.ndarray) -> np.ndarray:
-        return np.stack([(x @ p >= 0) @ weigh for p in sent.value], 1)
-
-    def keys(code: np.ndarray) -> np.ndarray:
-        """(vectors, tables) keys."""
-        return np.stack([(code[:, r] >> np.uint64(s * bits)) & low for r in range(rotations) for s in range(per)], 1)[:, :n_tables]
+    tables = Tables(learn(x[np.lexsort(x.T[::-1])], -(-n_tables // (BITS // bits))), bits, n_tables, candidates_within(threshold))
+    sent = spark.sparkContext.broadcast(tables.rotations)
+    tables.rotations = None
 
-    def index(frames):
+    def encode(frames):
+        here = Tables(sent.value, bits, n_tables, tables.within)
         for pdf in frames:
             for lo in range(0, len(pdf), 500):
                 part = pdf.iloc[lo : lo + 500]
-                x = _unit(part.v.tolist(), dim)
-                k, m = keys(codes(x)), len(part)
-                raw = np.array([np.asarray(a, np.float64).tobytes() for a in part.v], object)
-                yield pd.DataFrame(
-                    {
-                        "table": np.tile(np.arange(n_tables, dtype=np.int32), m),
-                        "key": k.ravel().astype(np.int64),
-                        "c": np.repeat(part.c.to_numpy(), n_tables),
-                        "n": np.repeat(part.n.to_numpy(), n_tables),
-                        "raw": np.repeat(raw, n_tables),
-                    }
-                )
-
-    def compare(g: pd.DataFrame) -> pd.DataFrame | None:
-        c, n, block = g.c.to_numpy(), g.n.to_numpy(), g.block.to_numpy()
-        arrays = [np.frombuffer(b, np.float64) for b in g.raw]
-        x, size = _unit(arrays, dim), np.array([len(a) for a in arrays])
-        links = (x @ x.T >= threshold) & (size[:, None] == size[None])
-        lo, hi = int(g.lo.iloc[0]), int(g.hi.iloc[0])
-        if lo != hi:
-            links &= block[:, None] != block[None]
-        np.fill_diagonal(links, False)
-        a, b = np.nonzero(np.triu(links))
-        if not len(a):
-            return None
-        t = int(g.table.iloc[0])
-        k = keys(codes(x))[:, :t]
-        new = ~(k[a] == k[b]).any(1) if t else np.ones(len(a), bool)
-        count = np.bincount(a[new], n[b[new]], len(c)) + np.bincount(b[new], n[a[new]], len(c))
-        tree = forest(np.where(links, 0.0, 9.0), 1.0) if len(a) > 2 * len(c) else np.stack([a, b], 1)
-        told = np.flatnonzero(count)
-        return pd.DataFrame(
-            {
-                "a": np.concatenate([c[tree[:, 0]], c[told]]),
-                "b": np.concatenate([c[tree[:, 1]], c[told]]),
-                "links": np.concatenate([np.zeros(len(tree)), count[told]]).astype(np.int64),
-            }
-        )
+                codes = here.codes(_unit(part.v.tolist(), dim))
+                raw = [np.asarray(a, np.float64).tobytes() for a in part.v]
+                yield pd.DataFrame({"node": part.node.to_numpy(), "n": part.n.to_numpy(), "raw": raw, "codes": [c.tobytes() for c in codes]})
 
-    rows = classes.mapInPandas(index, "table int, key long, c long, n long, raw binary")
-    rows = split_hot(rows, ["table", "key"], "c", MOST)
-    found = by_key(rows, ["table", "key", "lo", "hi"], compare, "a long, b long, links long")
-    found = cut(found.groupBy("a", "b").agg(F.sum("links").alias("links")))
-    counts = found.where("a = b").select(F.col("a").alias("c"), "links")
-    part = components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("c"), "component")
-    classes = classes.join(counts, "c", "left").join(part, "c", "left")
-    classes = classes.select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "c").alias("component_id"))
-    out = v.withColumn("__ok", F.coalesce(_sound(F.col("v")), F.lit(False))).withColumn("v", F.when(F.col("__ok"), F.col("v")))
-    out = out.join(classes, "v", "left")
-    out = out.select(F.col("id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    def index(frames):
+        for pdf in frames:
+            code = np.stack([np.frombuffer(c, np.uint64) for c in pdf.codes]) if len(pdf) else np.zeros((0, 1), np.uint64)
+            for t in range(n_tables if len(pdf) else 0):
+                r, shift = tables.place(t)
+                yield pd.DataFrame({"table": np.int32(t), "key": ((code[:, r] >> shift) & tables.low).view(np.int64), "node": pdf.node.to_numpy(), "code": code[:, r].view(np.int64)})
+
+    encoded = scratch(spark, classes.select("node", "n", "v").mapInPandas(encode, "node long, n long, raw binary, codes binary"), "vectors")
+    rows = encoded.select("node", "codes").mapInPandas(index, "table int, key long, node long, code long")
+    found = scratch(spark, _candidates(split_hot(rows, ["table", "key"], "node", MOST), tables), "candidates")
+    pairs = found.where("a >= 0").groupBy("a", "b").agg(F.min("table").alias("table"))
+    one = scratch(spark, _sparse_links(pairs, encoded, tables, threshold, dim), "links")
+    two = scratch(spark, _dense_links(found.where("a < 0").drop("a", "b"), encoded, tables, threshold, dim), "links")
+    counts = one.where("new").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("nb").alias("links")), F.struct(F.col("b").alias("node"), F.col("na").alias("links")))).alias("x")).select("x.*")
+    counts = counts.union(two.where("a = b").select("a", "links")).groupBy("node").agg(F.sum("links").alias("links"))
+    part = components(one.select("a", "b").union(two.where("a <> b").select("a", "b")).distinct())
+    of = classes.select("v", "c", "n", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")).join(counts, "node", "left")
+    least = of.groupBy("component").agg(F.min("c").alias("component_id"))
+    of = of.join(least, "component").select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", F.lit(True).alias("in"))
+    of = scratch(spark, of, "heads")
+    discard(found, one, two, encoded)
+    out = v.withColumn("v", F.when(F.coalesce(_sound(F.col("v")), F.lit(False)), F.col("v"))).join(of, "v", "left")
+    component = F.when(F.col("in"), F.col("component_id")).otherwise(F.col("id"))
+    out = out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its direct links, the least vec_id that links reach and whether that is its own. Null, zero and
+    non-finite vectors have no links; repeated rows are vectors of their own; an empty table gives no rows."""
     return linked(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

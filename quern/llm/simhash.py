@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.blocks import by_key, forest, split_hot
-from quern.llm.common import MIX, components, cut, mix64, row_key, scratch, table
+from quern.llm.common import MIX, components, discard, mix64, named, packed, row_key, scratch, some, table
 
 #: Words of a shingle; bits of a fingerprint; similarity (Jaccard of shingle sets) from which texts are linked.
 SHINGLE, BITS, SIMILAR = 5, 128, 0.8
@@ -20,7 +20,8 @@ SHINGLE, BITS, SIMILAR = 5, 128, 0.8
 #: pattern lies. Lists of about LEAF fingerprints end the recursion; RECALL is the share of pairs just at the
 #: threshold that the repeats find; MOST fingerprints of one list are compared in a task.
 STRIP, LEAF, RECALL, MOST = 7, 600, 0.97, 3_000
-MAX_BROADCAST_NODES = 2_000_000
+#: Nearest candidates of a list that a class is first held against; shingles of a block whose sets meet in a task.
+RANKS, BLOCK_SHINGLES = 8, 2_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -133,26 +134,26 @@ def _chunks(text: pd.Series, chars: float = 4e6):
 
 
 def sketches(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, k row key, node, f0, f1): the class of each row (rows with the same set of shingles; null without a word) and
-    its fingerprint."""
+    """(id, k row key, digest, size, f0, f1): of each row the 128-bit digest of its set of shingles (null without a
+    word), the set's size and its fingerprint."""
 
     def run(frames):
         for pdf in frames:
             for part in _chunks(pdf.text):
                 p = pdf.iloc[part]
                 sets = shingle_sets(p.text.tolist())
-                node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) if len(s) else None for s in sets]
                 f = [fingerprint(s) if len(s) else (None, None) for s in sets]
                 out = pd.DataFrame({"id": p.id.to_numpy(), "miss": p.miss.to_numpy(), "k": p.k.to_numpy()})
-                out["node"] = pd.array(node, "Int64")
+                out["digest"] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                out["size"] = [len(s) for s in sets]
                 out["f0"], out["f1"] = pd.array([x[0] for x in f], "Int64"), pd.array([x[1] for x in f], "Int64")
                 yield out
 
     # no null ids in pandas, which would make floats of a batch's ids
-    own = F.col(id_col).cast("long")
-    d = docs.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("miss"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    out = d.mapInPandas(run, "id long, miss boolean, k string, node long, f0 long, f1 long")
-    return out.select(F.when(~F.col("miss"), F.col("id")).alias("id"), "k", "node", "f0", "f1")
+    own = named(id_col).cast("long")
+    d = docs.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("miss"), row_key(id_col, text_col).alias("k"), named(text_col).alias("text"))
+    out = d.mapInPandas(run, "id long, miss boolean, k string, digest binary, size long, f0 long, f1 long")
+    return out.select(F.when(~F.col("miss"), F.col("id")).alias("id"), "k", "digest", "size", "f0", "f1")
 
 
 def _coordinates(r: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +174,7 @@ def _strips(f: np.ndarray, r: int, first: int, last: int) -> np.ndarray:
 
 
 def candidate_lists(classes: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
-    """Lists of classes(node, f0, f1) to be compared, as rows (r, key, lo, hi, block, node, f0, f1).
+    """Lists of classes(node, size, f0, f1, comp) to be compared, as rows (r, key, lo, hi, block and what classes has).
 
     Recursion: a fingerprint passes one filter on each strip of a repeat, as many strips as planned for n. Lists of more
     than MOST are dealt into pairs of blocks: filtering them on further strips would part pairs that the planned repeats
@@ -184,12 +185,13 @@ def candidate_lists(classes: DataFrame, n: int, similar: float = SIMILAR) -> Dat
         for pdf in frames:
             f = pdf[["f0", "f1"]].to_numpy(np.int64)
             for r in range(repeats):
-                yield pd.DataFrame({"r": np.int32(r), "key": _strips(f, r, 0, levels), "node": pdf.node.to_numpy(), "f0": f[:, 0], "f1": f[:, 1]})
+                yield pd.DataFrame({"r": np.int32(r), "key": _strips(f, r, 0, levels)} | {c: pdf[c].to_numpy() for c in _CLASS})
 
-    rows = classes.select("node", "f0", "f1").mapInPandas(deal, "r int, key long, node long, f0 long, f1 long")
+    rows = classes.select(*_CLASS).mapInPandas(deal, "r int, key long, " + ", ".join(f"{c} long" for c in _CLASS))
     return split_hot(rows, ["r", "key"], "node", MOST)
 
 
+_CLASS = ["node", "size", "f0", "f1", "comp"]
 _LIST = ["r", "key", "lo", "hi"]
 
 
@@ -211,142 +213,200 @@ def _ranks(d: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _pairs(lists: DataFrame, within: int, low: int, high: int) -> DataFrame:
-    """(a, b, then the list's key): of every list the pairs within the candidate distance that are among the low to
-    high nearest of either, their components (column comp, where there is one) apart; from the first ranks on also a
-    spanning forest of the nearest. A row with r >= 0 names a list that has pairs beyond high."""
-    with_comp = "comp" in lists.columns
+def _near(g: pd.DataFrame, within: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of a list's rows are candidates (within the distance, of sizes that allow the similarity, of different
+    components, and of both blocks where it is a pair of blocks), and all distances (255: no candidate for the others)."""
+    d = _apart(np.ascontiguousarray(g[["f0", "f1"]].to_numpy(np.int64)).view(np.uint64))
+    if g.lo.iloc[0] != g.hi.iloc[0]:
+        block = g.block.to_numpy()
+        d[block[:, None] == block[None]] = 255
+    comp, size = g.comp.to_numpy(), g["size"].to_numpy()
+    for lo in range(0, len(d), 256):
+        part, here = size[lo : lo + 256, None], slice(lo, lo + 256)
+        d[here][(comp[here, None] == comp[None]) | (np.minimum(part, size[None]) < similar * np.maximum(part, size[None]))] = 255
+    return d <= within, d
+
+
+def _first_pairs(lists: DataFrame, within: int, similar: float) -> DataFrame:
+    """(a, b, more): of every list the candidates that are among the RANKS nearest of either, and a spanning forest of the
+    nearest; and (a, a, more) for each class that has further candidates."""
 
     def compare(g: pd.DataFrame) -> pd.DataFrame | None:
-        f, node = np.ascontiguousarray(g[["f0", "f1"]].to_numpy(np.int64)).view(np.uint64), g.node.to_numpy()
-        d = _apart(f)
-        if g.lo.iloc[0] != g.hi.iloc[0]:
-            block = g.block.to_numpy()
-            d[block[:, None] == block[None]] = 255
-        np.fill_diagonal(d, 255)
-        near = d <= within
+        near, d = _near(g, within, similar)
         has = np.flatnonzero(near.any(1))
         if not len(has):
             return None
-        near, d, node = near[np.ix_(has, has)], d[np.ix_(has, has)], node[has]
-        degree = near.sum(1)
-        if degree.max() > high:
-            rank = _ranks(d)
-            now, later = near & (rank >= low) & (rank < high), near & (rank >= high)
-        else:
-            now, later = (near, None) if not low else (near & (_ranks(d) >= low), None)
-        if with_comp:
-            comp = g.comp.to_numpy()[has]
-            apart = comp[:, None] != comp[None]
-            now = now & apart
-            later = later & apart if later is not None else None
-        a, b = np.nonzero(np.triu(now | now.T))
-        if not low and later is not None:
+        near, d, node = near[np.ix_(has, has)], d[np.ix_(has, has)], g.node.to_numpy()[has]
+        more = np.zeros(len(has), bool)
+        if near.sum(1).max() > RANKS:
+            now = near & (_ranks(d) < RANKS)
+            now |= now.T
+            more = (near & ~now).any(1)
+            near = now
+        a, b = np.nonzero(np.triu(near))
+        if more.any():
             tree = forest(d, within)
             a, b = np.concatenate([tree[:, 0], a]), np.concatenate([tree[:, 1], b])
-        out = pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "r": -1, "key": 0, "lo": 0, "hi": 0})
-        if later is not None and later.any():
-            more = pd.DataFrame({"a": [0], "b": [0], **{c: [int(g[c].iloc[0])] for c in _LIST}})
-            out = pd.concat([out, more])
-        return out
-
-    return by_key(lists, _LIST, compare, "a long, b long, r int, key long, lo int, hi int")
-
-
-FIRST_RANKS = 8
-
-
-def links(classes: DataFrame, docs: DataFrame, sketch: DataFrame, n: int, similar: float, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): verified links that connect all classes that links connect.
-
-    First each class is held against its FIRST_RANKS nearest of each list. Lists with more candidates go on, twice as
-    many at a time, with pairs of which the links found so far don't connect both sides: in a group of thousands of
-    copies hardly any are left, and no candidate pair across groups is passed over."""
-    within, name = candidates_within(similar), ["a", "b"]
-    lists = candidate_lists(classes, n, similar)
-    found = cut(_pairs(lists, within, 0, FIRST_RANKS))
-    edges = cut(found.where("r < 0").select(*name).distinct())
-    good = cut(verified(edges, docs, sketch, similar, text_col, id_col))
-    dense, width = found.where("r >= 0").select(*_LIST).distinct(), FIRST_RANKS
-    dense = cut(lists.join(F.broadcast(dense) if dense.count() <= MAX_BROADCAST_NODES else dense, _LIST)) if dense.limit(1).count() else None
-    while dense is not None:
-        part = components(good)
-        rows = dense.drop("comp").join(part.select("node", F.col("component").alias("comp")), "node", "left")
-        rows = rows.withColumn("comp", F.coalesce("comp", "node"))
-        found = cut(_pairs(rows, within, width, 2 * width))
-        new = cut(found.where("r < 0").select(*name).distinct())
-        if new.limit(1).count():
-            good = cut(good.union(verified(new, docs, sketch, similar, text_col, id_col)))
-        more = found.where("r >= 0").select(*_LIST).distinct()
-        if not more.limit(1).count():
-            break
-        dense, width = cut(dense.join(more, _LIST, "left_semi")), 2 * width
-    return good
-
-
-def verified(edges: DataFrame, docs: DataFrame, sketch: DataFrame, similar: float, text_col: str, id_col: str) -> DataFrame:
-    """Of the edges those whose texts' sets of shingles have a Jaccard similarity of at least similar, exactly."""
-    spark = docs.sparkSession
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    one = sketch.groupBy("node").agg(F.min("k").alias("k")).join(nodes, "node")
-    one = cut(one)
-    few = one.count() <= MAX_BROADCAST_NODES
-    d = docs.select(row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(one) if few else one, "k")
+        return pd.DataFrame(
+            {"a": np.concatenate([np.minimum(node[a], node[b]), node[more]]), "b": np.concatenate([np.maximum(node[a], node[b]), node[more]]), "more": np.arange(len(a) + int(more.sum())) >= len(a)}
+        )
+
+    return by_key(lists, _LIST, compare, "a long, b long, more boolean").distinct()
+
+
+def _rest(lists: DataFrame, within: int, similar: float) -> DataFrame:
+    """(r, key, lo, hi, x, y, part, and what classes has): the classes of every list that have candidates of other
+    components, in pairs x <= y of parts of at most BLOCK_SHINGLES shingles (or one class)."""
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame | None:
+        near, _ = _near(g, within, similar)
+        has = np.flatnonzero(near.any(1))
+        if not len(has):
+            return None
+        g, near = g.iloc[has], near[np.ix_(has, has)]
+        part = (np.cumsum(g["size"].to_numpy()) // BLOCK_SHINGLES).astype(np.int32)
+        out = []
+        for x in np.unique(part):
+            for y in np.unique(part[part >= x]):
+                if near[np.ix_(part == x, part == y)].any():
+                    out.append(g[(part == x) | (part == y)].assign(x=x, y=y, part=part[(part == x) | (part == y)]))
+        return pd.concat(out)[[*_LIST, "x", "y", "part", "block", "node", "size", "f0", "f1", "comp"]] if out else None
+
+    return by_key(lists, _LIST, compare, "r int, key long, lo int, hi int, x int, y int, part int, block int, node long, size long, f0 long, f1 long, comp long")
+
+
+def _settled(rest: DataFrame, sets: DataFrame, within: int, similar: float) -> DataFrame:
+    """(a, b): verified links that connect all components that candidates of rest link. A pair whose sides are connected
+    by then is not looked at again, so a group of m near copies costs some m comparisons."""
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame | None:
+        near, d = _near(g, within, similar)
+        if g.x.iloc[0] != g.y.iloc[0]:
+            part = g.part.to_numpy()
+            near &= part[:, None] != part[None]
+        i, j = np.nonzero(np.triu(near))
+        order = np.argsort(d[i, j], kind="stable")
+        s, node = [np.frombuffer(x, np.uint64) for x in g.s], g.node.to_numpy()
+        up = {c: c for c in g.comp}
+
+        def root(c):
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        comp, out = g.comp.to_numpy(), []
+        for x, y in zip(i[order], j[order]):
+            p, q = root(comp[x]), root(comp[y])
+            if p != q and _jaccard(s[x], s[y]) >= similar:
+                up[max(p, q)] = min(p, q)
+                out.append((min(node[x], node[y]), max(node[x], node[y])))
+        return pd.DataFrame(out, columns=["a", "b"]) if out else None
+
+    return by_key(rest.join(sets, "node"), [*_LIST, "x", "y"], compare, "a long, b long").distinct()
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
+
+
+def _sets(classes: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, s): the sets of shingles of these classes, read from the text of one row of each."""
 
     def run(frames):
         for pdf in frames:
             for part in _chunks(pdf.text):
                 p = pdf.iloc[part]
-                yield pd.DataFrame({"node": p.node.to_numpy(), "s": [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in shingle_sets(p.text.tolist())]})
+                yield pd.DataFrame({"node": p.node.to_numpy(), "s": [x.tobytes() for x in shingle_sets(p.text.tolist())]})
+
+    one = classes.join(nodes, "node").select(F.col("first.k").alias("k"), "node")
+    d = docs.select(row_key(id_col, text_col).alias("k"), named(text_col).alias("text")).join(one, "k")
+    return d.select("node", "text").mapInPandas(run, "node long, s binary").dropDuplicates(["node"])
 
-    sets = d.select("node", "text").mapInPandas(run, "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
-    sets = scratch(spark, sets, "shingles")
+
+def _verified(edges: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Of the edges those whose texts' sets of shingles have a Jaccard similarity of at least similar, exactly."""
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a))
-        for i, (x, y) in enumerate(zip(a, b)):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            out[i] = both / max(len(x) + len(y) - both, 1)
-        return pd.Series(out)
+        return pd.Series([_jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="float64")
 
     pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return pairs.withColumn("j", jaccard("sa", "sb")).where(F.col("j") >= similar).select("a", "b")
+    return pairs.where(jaccard("sa", "sb") >= similar).select("a", "b")
+
+
+def linked_classes(classes: DataFrame, docs: DataFrame, n: int, similar: float, id_col: str, text_col: str) -> DataFrame:
+    """(node, component): what verified links connect, in two rounds.
+
+    First each class is held against its RANKS nearest of each list and a spanning forest of the list; the classes with
+    further candidates then meet again, with the sets of shingles themselves, and every pair that the links found by then
+    do not connect is looked at. So no candidate pair across groups is passed over, no task emits the pairs of a group,
+    and the number of jobs is the same at every size (but for the rounds of components, which grow with the diameter)."""
+    spark, within = docs.sparkSession, candidates_within(similar)
+    found = scratch(spark, _first_pairs(candidate_lists(classes.withColumn("comp", F.col("node")), n, similar), within, similar), "pairs")
+    edges = found.where("not more").select("a", "b")
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    sets = scratch(spark, _sets(classes, ends, docs, id_col, text_col), "shingles")
+    good = scratch(spark, _verified(edges, sets, similar), "links")
+    part = components(good)
+    more = found.where("more").select(F.col("a").alias("node")).distinct()
+    if not some(more):
+        return part
+    left = classes.join(more, "node").join(part, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    rest = scratch(spark, _rest(candidate_lists(left, n, similar), within, similar), "rest")
+    new = scratch(spark, _settled(rest, sets, within, similar), "links") if some(rest) else None
+    if new is None or not some(new):
+        return part
+    label = lambda side: part.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    over = new.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(over).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    # a class may be a component of its own, which part does not have
+    alone = top.join(part.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
+    moved = part.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return moved.union(alone)
 
 
 def groups(docs: DataFrame, similar: float = SIMILAR, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, k row key, group_id, first): near-duplicate groups of all rows; first is the (id, row key) that stays.
+    """(id, k row key, group_id, first_k): near-duplicate groups of all rows; first_k is the key of the row that stays.
 
     Rows with the same set of shingles are one class. Classes are linked where the Jaccard similarity of their sets is
-    at least similar; groups are what links connect, group_id is the smallest id in a group. Null texts and texts
-    without a word are groups of their own; repeated rows are copies; an empty table has no groups. Nothing of a
-    group meets in one task but what a list of the recursion holds; components are found by joins."""
-    s = scratch(docs.sparkSession, sketches(docs, id_col, text_col), "sketches")
-    known = s.where("node is not null")
-    classes = known.groupBy("node").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"))
-    part = components(links(classes, docs, known, classes.count(), similar, id_col, text_col))
+    at least similar; groups are what links connect, group_id is the smallest id in a group (null where all its ids are).
+    Null texts and texts without a word are groups of their own; repeated rows are copies; ids may repeat; an empty
+    table has no groups. Nothing of a group meets in one task but what a list of the recursion holds; components are
+    found by joins. Texts reach Python in Arrow batches, which Spark bounds in bytes, and in parts of some MB of them,
+    or one text."""
+    spark = docs.sparkSession
+    s = scratch(spark, sketches(docs, id_col, text_col), "sketches")
+    known = s.where("digest is not null")
     first = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("k").alias("k"))
-    of_class = known.groupBy("node").agg(F.min(first).alias("first"))
-    of_class = of_class.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = known.groupBy("digest").agg(F.first("size").alias("size"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.min(first).alias("first"))
+    classes = scratch(spark, classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    part = linked_classes(classes, docs, classes.count(), similar, id_col, text_col)
+    of_class = classes.select("digest", "node", "first").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_class = scratch(spark, of_class.select("digest", "component", "first"), "heads")
     of_group = of_class.groupBy("component").agg(F.min("first").alias("first"))
-    heads = of_class.select("node", "component").join(of_group, "component").select("node", "first")
-    out = s.join(heads, "node", "left")
+    heads = scratch(spark, of_class.select("digest", "component").join(of_group, "component").select("digest", "first"), "heads")
+    discard(of_class)
+    out = s.select("id", "k", "digest").join(heads, "digest", "left")
     return out.select("id", "k", F.coalesce(F.col("first.id"), "id").alias("group_id"), F.coalesce(F.col("first.k"), "k").alias("first_k"))
 
 
 def drop_near_copies(docs: DataFrame, similar: float = SIMILAR, id_col="doc_id", text_col="text") -> DataFrame:
-    """docs with one row of each group, the one of the smallest id; all columns as they are. Of repeated rows one stays."""
-    g = cut(groups(docs, similar, id_col, text_col))
-    stay = g.where("k = first_k").groupBy("k").agg(F.count(F.lit(1)).alias("__n"))
-    out = docs.withColumn("__k", row_key(id_col, text_col)).join(stay.select(F.col("k").alias("__k"), "__n"), "__k")
-    once, more = out.where("__n = 1"), out.where("__n > 1").dropDuplicates(["__k"])
-    return once.union(more).drop("__k", "__n")
+    """docs with one row of each group, the one of the smallest id (null last; then of the least row key); all columns as
+    they are, whatever their names. Of wholly repeated rows one stays. Null texts and texts without a word stay, one of
+    each id; an empty table stays empty."""
+    g = groups(docs, similar, id_col, text_col)
+    stay = scratch(docs.sparkSession, g.where("k = first_k").groupBy("k").agg(F.count(F.lit(1)).alias("n")), "stay")
+    out = docs.select(packed(docs), row_key(id_col, text_col).alias("k")).join(stay, "k")
+    if some(stay.where("n > 1")):
+        out = out.where("n = 1").union(out.where("n > 1").dropDuplicates(["k"]))
+    return out.select("row.*")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its group and whether it is the one that stays."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Every document with its group and whether it is the one that stays. Null and empty texts are groups of their own;
+    of rows that repeat an id and a text all are marked as kept or none; an empty table gives no rows."""
     g = groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return g.select(F.col("id").alias("doc_id"), "group_id", (F.col("k") == F.col("first_k")).alias("kept"))
