@@ -148,28 +148,62 @@ def test_recall_holds_at_every_size(n):
     assert met.mean() > simhash.RECALL - 0.006
 
 
-def test_embeddings(spark, monkeypatch):
+def brute_embeddings(rows, threshold=0.9):
+    """vec -> (links, component, kept) of each row, by numpy; rows with unsound vectors link with nothing."""
+    sound = [k for k, (_, v) in enumerate(rows) if v and all(y is not None and np.isfinite(y) for y in v) and any(v)]
+    up = list(range(len(rows)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    n = [0] * len(rows)
+    unit = {k: np.array(rows[k][1], float) / np.linalg.norm(np.array(rows[k][1], float)) for k in sound}
+    for x, i in enumerate(sound):
+        for j in sound[:x]:
+            if len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold:
+                n[i], n[j] = n[i] + 1, n[j] + 1
+                up[root(i)] = root(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), i), i)
+    return Counter((i, n[k], least.get(root(k)), i == least.get(root(k))) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("most,sparse", [(2_000, 4), (8, 4), (2_000, 0), (8, 0), (8, 10_000)])
+def test_embeddings(spark, monkeypatch, most, sparse):
+    """All links, components and kept flags against brute force: sparse and dense groups, blocks, odd rows, null ids."""
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 32))
-    x = np.concatenate([base, base[:20] + 0.2 * rng.standard_normal((20, 32)), np.repeat(base[:1], 30, 0), base[5] + 0.3 * rng.standard_normal((40, 32))])
+    x = np.concatenate([base, base[:20] + 0.2 * rng.standard_normal((20, 32)), np.repeat(base[:1], 30, 0), base[5] + 0.2 * rng.standard_normal((40, 32))])
     rows = [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)]
-    odd = [(900, None), (901, []), (902, [0.0] * 32), (903, [float("nan")] * 32), (904, [float("inf")] + [1.0] * 31), (905, [None] + [1.0] * 31), (906, [1.0, 2.0]), (None, rows[3][1]), (7, rows[7][1])]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").repartition(3)
-    u = np.array([r[1] for r in rows] + [rows[3][1], rows[7][1]])
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    links = u @ u.T >= 0.9
-    np.fill_diagonal(links, False)
-    want = dict(zip(range(len(rows)), links.sum(1)))
-    for most in (2_000, 8):
-        monkeypatch.setattr(embeddings, "MOST", most)
-        out = embeddings.linked(df).collect()
-        assert len(out) == len(rows) + len(odd)
-        got = {r.vec_id: r.n_links for r in out}
-        assert all(got[i] == 0 for i in range(900, 907))
-        assert all(got[i] <= want[i] for i in want)
-        assert sum(got[i] for i in want) >= 0.97 * sum(want.values())
-        assert all(r.kept == (r.vec_id == r.component_id) for r in out)
-    assert embeddings.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    rows += [(900, None), (901, []), (902, [0.0] * 32), (903, [float("nan")] * 32), (904, [float("inf")] + [1.0] * 31), (905, [None] + [1.0] * 31), (906, [1.0, 2.0])]
+    rows += [(None, rows[3][1]), (7, rows[7][1]), (None, [3.0, -1.0]), (None, [3.0, -1.0]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(embeddings, "MOST", most)
+    monkeypatch.setattr(embeddings, "SPARSE", sparse)
+    assert Counter(tuple(r) for r in embeddings.linked(df).collect()) == brute_embeddings(rows)
+
+
+def test_embeddings_with_null_ids(spark):
+    """A row without an id in a group must not take its component away from the others."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(40):
+        v = rng.standard_normal(16)
+        rows += [(i, v.tolist()), (None, (v + 0.01 * rng.standard_normal(16)).tolist())]
+    out = embeddings.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter(tuple(r) for r in out) == brute_embeddings(rows)
+    assert sum(r.kept for r in out) == 40 and embeddings.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_op10_query(spark, tmp_path):
+    spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = embeddings.op10_embedding_dedup(spark, str(tmp_path))
+    assert out.columns == ["vec_id", "n_links", "component_id", "kept"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
 
 
 @pytest.mark.parametrize("dim", [64, 128])
