@@ -48,6 +48,76 @@ def make(r, kinds, n, odd):
     return " ".join(r.choice(odd) if odd and r.random() < 0.05 else r.choice(kinds) for _ in range(n))
 
 
+def brute_kneser_ney(texts, toxic, word):
+    """log P(word | class) for both classes, by dictionaries: discounted counts (occurrences at the highest order and at
+    the start of a word, else distinct characters before), STRENGTH pseudo counts of what both classes share."""
+    n = toxicity.ORDER
+    held = [Counter(), Counter()]  # texts of each class that hold a word
+    for t, y in zip(texts, toxic):
+        held[y].update({w for w in (t or "").lower().split()})
+    count = [Counter(), Counter()]  # (context, character)
+    for y in (0, 1):
+        before = {}
+        for w, c in held[y].items():
+            s = "\x01" + w + "\x02"
+            for j in range(len(s)):
+                for k in range(1, n + 1):
+                    if j - k + 1 < 0 or j == 0:  # the start is not predicted
+                        continue
+                    gram = s[j - k + 1 : j + 1]
+                    if k == n or j - k < 0:
+                        count[y][gram] += c
+                    else:
+                        before.setdefault(gram, set()).add(s[j - k])
+        for gram, kinds in before.items():
+            count[y][gram] += len(kinds)
+    both = count[0] + count[1]
+    total, kinds = {}, {}
+    for name, c in (("both", both), (0, count[0]), (1, count[1])):
+        total[name], kinds[name] = Counter(), Counter()
+        for gram, x in c.items():
+            total[name][gram[:-1]] += x
+            kinds[name][gram[:-1]] += 1
+    out, d, strength = [], toxicity.DISCOUNT, toxicity.STRENGTH
+    s = "\x01" + word + "\x02"
+    for y in (0, 1):
+        logs = 0.0
+        for j in range(1, len(s)):
+            p = 1e-4
+            for k in range(1, min(n, j + 1) + 1):
+                gram = s[j - k + 1 : j + 1]
+                h = gram[:-1]
+                if not total["both"][h]:
+                    continue
+                shared = max(both[gram] - d, 0) / total["both"][h]
+                top = (max(count[y][gram] - d, 0) + strength * shared) / (total[y][h] + strength)
+                away = (d * kinds[y][h] + strength * d * kinds["both"][h] / total["both"][h]) / (total[y][h] + strength)
+                p = top + away * p
+            logs += math.log(p)
+        out.append(logs)
+    return out
+
+
+def test_kneser_ney_against_brute_force():
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcé") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 12))) for _ in range(30)] + ["x" * 40 + " ab", None]
+    y = [int(r.random() < 0.3) for _ in texts]
+    words, ids, sizes = toxicity.words_of(texts)
+    m = toxicity._fit(words, ids, sizes, np.array(y))
+    ask = np.array([*words[:40], "zzz", "abab", "x" * 39], object)
+    got = m.likelihoods(ask)
+    assert got == pytest.approx(np.array([brute_kneser_ney(texts, y, w) for w in ask]), rel=1e-4)
+
+
+def test_kneser_ney_sums_to_one():
+    """Words of up to two letters over all letters that were seen, with the end, are all there is after the start."""
+    m = toxicity._fit(*toxicity.words_of(["abc abd bcd", "abc ccc"]), np.array([0, 1]))
+    p = np.exp(m.likelihoods(np.array(["", *"abcd"], object)))  # P(end), P(a end), ...
+    assert (p.sum(0) < 1).all()
+    step = {w: math.exp(m.likelihoods(np.array([w], object))[0, 0]) for w in ("ab", "abc", "abd")}
+    assert step["abc"] > step["ab"]
+
+
 def test_toxicity(spark, docs, none):
     r = random.Random(5)
     plain, bad = [f"{a}{b}" for a in "bcdfgl" for b in ("an", "oro", "ith", "ume")], ["vilest", "viler", "vileness", "grokk"]
@@ -58,10 +128,32 @@ def test_toxicity(spark, docs, none):
     m = toxicity.fit(texts[:250], y[:250])
     p = m.score(texts[250:])
     assert np.mean((p >= 0.5) == np.array(y[250:])) > 0.95
-    out = toxicity.score_texts(docs, m).collect()
-    assert len(out) == docs.count() and all(0 <= x.toxic_score <= 1 for x in out)
+    out = toxicity.score_texts(docs.withColumnRenamed("k", "a.b"), m, out_col="score")
+    assert sorted(out.columns) == sorted(docs.withColumnRenamed("k", "a.b").columns)
+    assert out.count() == docs.count() and all(0 <= x.score <= 1 for x in out.select("score").collect())
     assert toxicity.score_texts(none, m).count() == 0
     assert 0 <= toxicity.fit([], []).score([None, ""])[0] <= 1
+    long = " ".join(texts[250:300]) * 60
+    assert m.score([long])[0] >= 0 and len(long) > 1_000_000
+
+
+def test_op5_query(spark, tmp_path):
+    r = random.Random(8)
+    plain, bad = [f"{a}{b}" for a in "bcdfgl" for b in ("an", "oro", "ith", "ume")], ["vilest", "viler", "vileness", "grokk"]
+    rows, labels = [], []
+    for i in range(300):
+        labels.append((i, 1, int(i % 4 == 0)))
+        rows.append((i, make(r, plain, r.randint(20, 100), bad if i % 4 == 0 else None)))
+    rows += [(None, None), (900, ""), rows[3]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels + [(7, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = toxicity.op5_toxicity(spark, str(tmp_path))
+    assert df.columns == ["doc_id", "held_out", "score", "predicted"]
+    out = df.collect()
+    assert Counter(x.doc_id for x in out) == Counter(i for i, _ in rows)
+    assert all(x.held_out == (zlib.crc32(b"" if x.doc_id is None else str(x.doc_id).encode()) % 3 == 1) and x.predicted == int(x.score >= 0.7) for x in out)
+    held = [x for x in out if x.held_out and x.doc_id is not None and x.doc_id < 300]
+    assert np.mean([x.predicted == int(x.doc_id % 4 == 0) for x in held]) > 0.9
 
 
 def test_language(docs, none):
