@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import MIX, mix64, modulus, table
+from quern.llm.common import MIX, mix64, modulus, named, packed, table
 
-#: Labelled rows that the field is fitted on, at most, and words of them, in chains of CHAIN words.
-MAX_FIT_ROWS, MAX_FIT_WORDS, CHAIN = 3_000, 150_000, 24
+#: Labelled rows that the field is fitted on, at most (about: rows are chosen by a hash), and the bytes of their texts, at
+#: most (the bound on rows is lowered where texts are long). All words of these rows are used, in chains of CHAIN words.
+MAX_FIT_ROWS, MAX_FIT_BYTES, CHAIN = 1_000, 16_000_000, 24
 BITS, EPOCHS, RATE, RIDGE = 17, 25, 0.3, 1e-6
-#: Words are read in their first and last so many bytes; n-grams of 2 to 4 bytes, affixes of 1 to 4.
-HEAD, TAIL = 14, 10
-_WORD = re.compile(r"[^\W\d_]+")
+#: Bytes of words, with marks and padding, that features are made of at a time (or one word).
+CELLS = 400_000
+
+
+def _letters() -> str:
+    """The characters of Unicode's category L as ranges of a regular expression."""
+    is_letter = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    edges = np.flatnonzero(np.diff(is_letter.astype(np.int8), prepend=0, append=0))
+    return "".join(f"{re.escape(chr(lo))}-{re.escape(chr(hi - 1))}" for lo, hi in zip(edges[::2], edges[1::2]))
+
+
+_WORD = re.compile(f"[{_letters()}]+")
 
 
 def words_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,12 +46,23 @@ def words_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, ids, sizes
 
 
-def features(words: np.ndarray) -> np.ndarray:
-    """(words, features) slots in the weight table: the word itself (lexicon), affixes and byte n-grams; 0 is none."""
-    raw = [w.encode() for w in words]
-    short = [b if len(b) <= HEAD + TAIL else b[:HEAD] + b[-TAIL:] for b in raw]
-    width = HEAD + TAIL + 2
-    c = np.array([b"\x01" + b + b"\x02" for b in short], f"S{width}").view(np.uint8).reshape(len(raw), width).astype(np.uint64)
+def _parts(words: np.ndarray):
+    """(places, bytes) of the words, in parts of words of much the same length and CELLS bytes at most (or one word)."""
+    raw = np.empty(len(words), object)
+    raw[:] = [w.encode("utf-8", "surrogatepass") for w in words]
+    size = np.fromiter((len(b) + 2 for b in raw), np.int64, len(raw))
+    order, lo = np.argsort(size, kind="stable"), 0
+    size = size[order]
+    while lo < len(order):
+        hi = lo + 1 + int(np.searchsorted(size[lo + 1 :] * np.arange(2, len(order) - lo + 1), CELLS, "right"))
+        yield order[lo:hi], raw[order[lo:hi]], int(size[hi - 1])
+        lo = hi
+
+
+def features(words: np.ndarray, raw: np.ndarray, width: int) -> list[np.ndarray]:
+    """Slots in the weight table, a column at a time: the word itself (lexicon), affixes of 1 to 4 bytes and n-grams of 2
+    to 4 bytes at every place of the word, whatever its length; 0 is none. width: bytes of the longest with its marks."""
+    c = np.array([b"\x01" + b + b"\x02" for b in raw], f"S{width}").view(np.uint8).reshape(len(raw), width).astype(np.uint64)
     n = (c > 0).sum(1)
     out, mask = [], np.uint64((1 << BITS) - 1)
 
@@ -50,7 +72,7 @@ def features(words: np.ndarray) -> np.ndarray:
 
     with np.errstate(over="ignore"):
         grams, prefix = c, c[:, 0]
-        for k in range(1, 5):  # prefixes
+        for k in range(1, min(5, width)):  # prefixes
             prefix = prefix * np.uint64(257) + c[:, k]
             slot(prefix, 100 + k, n > k)
         suffix = np.zeros(len(raw), np.uint64)
@@ -63,11 +85,19 @@ def features(words: np.ndarray) -> np.ndarray:
         for k in (2, 3, 4):
             grams = grams[:, :-1] * np.uint64(257) + c[:, k - 1 :]
             for j in range(width - k + 1):
-                if not (n >= j + k).any():
-                    break
                 slot(grams[:, j], 300 + k, n >= j + k)
     slot(pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, np.uint64), 400, np.ones(len(raw), bool))
-    return np.stack(out, 1) if out else np.zeros((0, 1), np.int32)
+    return out
+
+
+def slots(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, slot) of all features of the words."""
+    rows, found = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for at, raw, width in _parts(words):
+        for column in features(words[at], raw, width):
+            ok = column > 0
+            rows.append(at[ok].astype(np.int32)), found.append(column[ok])
+    return np.concatenate(rows), np.concatenate(found)
 
 
 def _spread(e: np.ndarray, go: np.ndarray, sizes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +136,11 @@ class Field:
 
     def emissions(self, words: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), len(self.labels)))
-        for lo in range(0, len(words), 20_000):
-            f = features(words[lo : lo + 20_000])
-            for col in f.T:
-                out[lo : lo + 20_000] += self.weights[col]
+        for at, raw, width in _parts(words):
+            e = np.zeros((len(at), len(self.labels)))
+            for column in features(words[at], raw, width):
+                e += self.weights[column]
+            out[at] = e
         return out
 
     def marginals(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,9 +166,9 @@ class Field:
         return label, np.clip(score, 0, 1)
 
 
-def fit(texts, labels, max_words: int = MAX_FIT_WORDS) -> Field:
-    """Conditional likelihood by AdaGrad. Chains are runs of CHAIN words of one text; half of them go on with a run
-    of another text, so that transitions between languages are learned and code-switched text can be labelled."""
+def fit(texts, labels) -> Field:
+    """Conditional likelihood by AdaGrad over all words. Chains are runs of CHAIN words of one text; half of them go on
+    with a run of another text, so that transitions between languages are learned and code-switched text can be labelled."""
     names = sorted(set(labels))
     y_doc = np.array([names.index(x) for x in labels], np.int64)
     words, ids, sizes = words_of(texts)
@@ -149,7 +180,7 @@ def fit(texts, labels, max_words: int = MAX_FIT_WORDS) -> Field:
     place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     chain = np.unique(np.stack([doc, place // CHAIN], 1), axis=0, return_inverse=True)[1].ravel()
     rng = np.random.default_rng(7)
-    keep = rng.permutation(chain.max() + 1)[: max(1, max_words // CHAIN)]
+    keep = rng.permutation(chain.max() + 1)
     starts, ends = np.searchsorted(chain, keep, "left"), np.searchsorted(chain, keep, "right")
     at = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends)])
     length = ends - starts
@@ -157,7 +188,7 @@ def fit(texts, labels, max_words: int = MAX_FIT_WORDS) -> Field:
     joined = np.where(np.arange(len(length)) % 4 < 2, joined, np.arange(len(length)))  # every second pair is one chain
     length = np.bincount(np.unique(joined, return_inverse=True)[1].ravel(), length).astype(np.int64)
     used, ids = np.unique(ids[at], return_inverse=True)
-    y, f = y_doc[doc[at]], features(words[used])
+    y, (row, slot) = y_doc[doc[at]], slots(words[used])
     prev_ok = np.ones(len(at), bool)
     prev_ok[np.cumsum(length) - length] = False
     gold_pairs = np.zeros((k, k))
@@ -165,14 +196,11 @@ def fit(texts, labels, max_words: int = MAX_FIT_WORDS) -> Field:
     gold = np.stack([np.bincount(ids, y == c, len(used)) for c in range(k)], 1)
     gw, gt = np.full_like(w, 1e-8), np.full_like(t, 1e-8)
     for _ in range(EPOCHS):
-        e = np.zeros((len(used), k))
-        for col in f.T:
-            e += w[col]
+        e = np.stack([np.bincount(row, w[slot, c], len(used)) for c in range(k)], 1)
         e = np.exp(np.maximum(e - e.max(1, keepdims=True), -30))
         p, pairs = _spread(e[ids], np.exp(t - t.max()), length, np.full(k, 1 / k))
         d = gold - np.stack([np.bincount(ids, p[:, c], len(used)) for c in range(k)], 1)
-        g = np.stack([np.bincount(f.ravel(), np.repeat(d[:, c], f.shape[1]), 1 << BITS) for c in range(k)], 1) - RIDGE * w
-        g[0] = 0
+        g = np.stack([np.bincount(slot, d[row, c], 1 << BITS) for c in range(k)], 1) - RIDGE * w
         gw += g * g
         w += RATE * g / np.sqrt(gw)
         g = gold_pairs - pairs
@@ -181,25 +209,28 @@ def fit(texts, labels, max_words: int = MAX_FIT_WORDS) -> Field:
     return Field(names, w.astype(np.float32), t)
 
 
-def fit_on(docs: DataFrame, keep, id_col="doc_id", text_col="text", lang_col="lang", max_rows: int = MAX_FIT_ROWS) -> Field:
-    """Fits on rows with a language for which keep holds, a hash sample of max_rows of them where there are more.
+def fit_on(docs: DataFrame, keep, id_col="doc_id", text_col="text", lang_col="lang", max_rows: int = MAX_FIT_ROWS, max_bytes: int = MAX_FIT_BYTES) -> Field:
+    """Fits on rows with a text and a language for which keep holds, a hash sample of about max_rows of them where there
+    are more, and less where their texts are more than max_bytes.
 
-    The sample is all that reaches the driver."""
-    d = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & keep)
-    n = d.count()
-    if n > max_rows:
-        d = d.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
-    rows = d.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).toPandas()
+    The sample is all that reaches the driver. It goes by id and text, so null and shared ids are sampled as others are;
+    wholly repeated rows come or stay out together. Without rows every text is und."""
+    d = docs.where(named(lang_col).isNotNull() & named(text_col).isNotNull() & keep)
+    n, size = d.agg(F.count(F.lit(1)), F.sum(F.octet_length(named(text_col)))).first()
+    share = min(1.0, max_rows / max(n, 1), max_bytes / max(size or 0, 1))
+    if share < 1:
+        d = d.where(F.pmod(F.xxhash64(named(id_col), named(text_col), F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = d.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang")).toPandas()
     rows = rows.sort_values(["id", "text"], kind="stable", na_position="first")
     return fit(rows.text.tolist(), rows.lang.tolist())
 
 
-def label_texts(docs: DataFrame, field: Field, text_col: str = "text", chars: float = 4e6) -> DataFrame:
-    """docs with lang_found: a struct of label and score (0 to 1).
+def language(docs: DataFrame, field: Field, text: Column, chars: float = 4e6) -> Column:
+    """A struct of label and score (0 to 1) of a column of texts of docs.
 
-    Whole texts are read; null texts and those without a letter are und with score 0. Any other columns pass."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(field)
+    Whole texts are read, in parts of some MB of them or one text; null texts and those without a letter (Unicode's
+    category L) are und with score 0."""
+    sent = docs.sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf("label string, score double")
     def found(text: pd.Series) -> pd.DataFrame:
@@ -210,13 +241,26 @@ def label_texts(docs: DataFrame, field: Field, text_col: str = "text", chars: fl
                 label[part], score[part] = sent.value.predict(text.iloc[part].tolist())
         return pd.DataFrame({"label": label, "score": score})
 
-    return docs.withColumn("lang_found", found(F.col(text_col)))
+    return found(text)
+
+
+def label_texts(docs: DataFrame, field: Field, text_col: str = "text", out_col: str = "lang_found") -> DataFrame:
+    """docs with out_col as language() gives it (it takes the place of a column of that name); all other columns as they
+    are; repeated rows are labelled alike; an empty table stays empty."""
+    return docs.select(*[named(c) for c in docs.columns if c != out_col], language(docs, field, named(text_col)).alias(out_col))
+
+
+def in_one_language(docs: DataFrame, field: Field, least_share: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs with a letter of whose letters at least least_share stand in words of one language; all columns as
+    they are, whatever their names."""
+    d = docs.select(packed(docs)).select("row", language(docs, field, F.col("row").getField(text_col)).alias("found"))
+    return d.where((F.col("found.label") != "und") & (F.col("found.score") >= least_share)).select("row.*")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language, learned from rows whose crc32 of the id is not 2 modulo 4 (a null id counts as the
+    empty text). Null texts and texts without a letter are und with score 0; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = modulus("doc_id", 4) == 2
-    field = fit_on(docs, ~held)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    out = label_texts(docs.select("doc_id", "text"), field)
+    out = label_texts(docs.select("doc_id", "text"), fit_on(docs, ~held))
     return out.select("doc_id", held.alias("held_out"), F.col("lang_found.label").alias("lang_pred"), F.col("lang_found.score").alias("score"))
