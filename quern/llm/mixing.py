@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, table
+from quern.llm.common import WORD, named, packed, row_key, table
 
 #: Weight schedules by rank of the source: knots (time from 0 to 1, weight), straight between. Early, even, late.
 SCHEDULES = (((0.0, 2.0), (1.0, 0.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.0), (1.0, 2.0)))
@@ -65,71 +65,76 @@ def _time(share: Column, rank: Column, schedules) -> Column:
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with __size, __source_size, __rank, __target, __passes (whole passes and the partial one), __before
-    (words of the source ahead of the document) and __taken.
-
-    Within a source, documents stand in the order of md5(id) (then id, size), which reruns repeat. Whole passes take
-    every document; the partial pass takes those whose middle word lies before what is left of the target, so the
-    words taken are within half a document of it. The running sum is two-level: totals of md5 ranges of the source,
-    then sums within a range, so no task holds a whole source. Null texts and empty ones have size 0; a null source
-    is a source; repeated rows are documents of their own; no rows give no rows."""
-    at = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    d = docs.withColumns(
-        {"__size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"), "__at": at, "__src": F.col(source_col)}
+    """(row, id, size, source_size, rank, target, before, passes, taken): each row of docs as a struct, its words, its
+    source's words, rank and target, the words of the source ahead of it, how many times it is taken, and the words that
+    makes.
+
+    Within a source, documents stand in the order of a hash of id and text (then id, size), which reruns repeat. Whole
+    passes take every document; the partial pass takes those whose middle word lies before what is left of the target, so
+    the words taken are within half a document of it. The running sum is two-level: totals of hash ranges of the source,
+    then sums within a range, so no task holds a whole source, nor the rows without an id. Null texts and empty ones have
+    size 0 and are not taken; a null source is a source, the last; wholly repeated rows are documents of their own, next
+    to each other; columns may have any name; no rows give no rows."""
+    lean = docs.select(
+        packed(docs), named(id_col).alias("id"), named(source_col).alias("src"), row_key(id_col, text_col).alias("at"), F.coalesce(F.regexp_count(named(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     )
-    lean = docs.select(F.col(source_col).alias("__src"), at.alias("__at"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("__size"))
     n = docs.count()
     digits = 1
     while 16**digits * ROWS_PER_BUCKET < n and digits < 8:
         digits += 1
-    bucket = F.substring("__at", 1, digits)
-    totals = lean.groupBy("__src", bucket.alias("__bucket")).agg(F.sum("__size").alias("words"))
-    ahead = Window.partitionBy("__src").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-    targets = source_targets(totals.groupBy(F.col("__src").alias("source")).agg(F.sum("words").alias("source_size")), weights, cap)
-    targets = targets.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("rank").alias("__rank"), F.col("target").alias("__target"))
+    lean = lean.withColumn("bucket", F.substring("at", 1, digits))
+    totals = lean.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
+    ahead = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
+    targets = source_targets(totals.groupBy(F.col("src").alias("source")).agg(F.sum("words").alias("source_size")), weights, cap)
+    targets = targets.select(F.col("source").alias("s"), "source_size", "rank", "target")
     # one row per source and range, far fewer than documents; Spark broadcasts it below its own threshold only
-    starts = totals.join(targets, F.col("__src").eqNullSafe(F.col("__s"))).drop("__s", "words")
-    starts = starts.select(F.col("__src").alias("__s"), F.col("__bucket").alias("__b"), "__ahead", "__source_size", "__rank", "__target")
-    within = Window.partitionBy("__src", "__bucket").orderBy("__at", F.col(id_col), "__size").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("__bucket", bucket)
-    d = d.withColumn("__before", F.coalesce(F.sum("__size").over(within), F.lit(0)))
-    d = d.join(starts, F.col("__src").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    d = d.withColumn("__before", F.col("__before") + F.col("__ahead"))
-    whole = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(F.lit(0))
-    d = d.withColumn("__whole", whole.cast("long"))
-    rest = F.col("__target") - F.col("__whole") * F.col("__source_size")
-    part = (F.col("__size") > 0) & (F.col("__before") + F.col("__size") / 2.0 <= rest)
-    d = d.withColumn("__passes", F.when(F.col("__size") > 0, F.col("__whole") + part.cast("long")).otherwise(F.lit(0)).cast("long"))
-    d = d.withColumn("__taken", F.col("__passes") * F.col("__size"))
-    return d.drop("__src", "__bucket", "__s", "__b", "__ahead", "__at", "__whole")
+    starts = totals.join(targets, F.col("src").eqNullSafe(F.col("s")))
+    starts = starts.select(F.col("src").alias("s"), F.col("bucket").alias("b"), "ahead", "source_size", "rank", "target")
+    within = Window.partitionBy("src", "bucket").orderBy("at", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    d = lean.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    d = d.join(starts, F.col("src").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("before", F.col("before") + F.col("ahead"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    d = d.withColumn("whole", whole)
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    part = (F.col("before") + F.col("size") / 2.0 <= rest).cast("long")
+    d = d.withColumn("passes", F.when(F.col("size") > 0, F.col("whole") + part).otherwise(F.lit(0)).cast("long"))
+    return d.select("row", "id", "size", "source_size", "rank", "target", "before", "passes", (F.col("passes") * F.col("size")).alias("taken"))
+
+
+def position(pass_no: Column, schedules=SCHEDULES) -> Column:
+    """Where a copy of plan_mix's row stands in training, 0 to 1: where its source's cumulative token demand, the integral
+    of the source's weight schedule over time, reaches the copy's middle word."""
+    share = (pass_no * F.col("source_size") + F.col("before") + F.col("size") / 2.0) / F.col("target")
+    return _time(F.least(share, F.lit(1.0)), F.col("rank"), schedules)
 
 
 def curriculum(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, schedules=SCHEDULES, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: one row per copy taken, with pass_no and position, range-sorted by position.
+    """The mix itself: one row per copy taken, with pass_no and position, range-sorted by position (then id, pass).
 
-    A copy stands where its source's cumulative token demand reaches the copy's middle word: position is the inverse
-    of the integral of the source's weight schedule at that share of the target."""
-    d = plan_mix(docs, weights, cap, id_col, text_col, source_col)
-    d = d.where("__passes > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0), (F.col("__passes") - 1).cast("int"))))
-    share = (F.col("pass_no") * F.col("__source_size") + F.col("__before") + F.col("__size") / 2.0) / F.col("__target")
-    d = d.withColumn("position", _time(F.least(share, F.lit(1.0)), F.col("__rank"), schedules))
-    d = d.drop(*[c for c in d.columns if c.startswith("__")])
-    keys = [F.col("position"), F.col(id_col), F.col("pass_no")]
-    d = d.repartitionByRange(partitions, *keys) if partitions else d.repartitionByRange(*keys)
-    return d.sortWithinPartitions(*keys)
+    plan_mix tells which copies are taken, position() where they stand. All columns of docs pass as they are, but pass_no
+    and position take the place of columns of those names. Nulls, repeated rows and empty tables as in plan_mix."""
+    d = plan_mix(docs, weights, cap, id_col, text_col, source_col).where("passes > 0")
+    d = d.withColumn("pass_no", F.explode(F.sequence(F.lit(0), (F.col("passes") - 1).cast("int"))))
+    d = d.withColumn("position", position(F.col("pass_no"), schedules))
+    keys = ["position", "id", "pass_no"]
+    d = (d.repartitionByRange(partitions, *keys) if partitions else d.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("pass_no", "position")]
+    return d.select(*own, "pass_no", "position")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it, the number of its copies and where the first of them stands
+    in training (null where none does). Null texts have size 0; a null source is the last one; repeated rows are
+    documents of their own; an empty table gives no rows."""
     d = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return d.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken")
-    )
+    first = F.when(F.col("passes") > 0, position(F.lit(0)))
+    return d.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "passes", first.alias("first_position"))
 
 
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS at,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '-') || chr(1) || coalesce('t' || text, 'n')) AS at,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents
 ), s AS (
@@ -142,14 +147,21 @@ WITH d AS (
          sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
   FROM w
 ), l AS (SELECT max((total - filled) / rest) AS level FROM c),
-t AS (SELECT source, source_size, least(most, level * weight) AS target FROM c, l),
+t AS (SELECT source, source_size, rank, least(most, level * weight) AS target FROM c, l),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.rank,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.at, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS whole
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT *, (CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END END)::BIGINT AS passes,
+         least((before + size / 2.0)::DOUBLE / target, 1.0::DOUBLE) AS share
+  FROM p
 )
-SELECT doc_id, size, source_size, target,
-       (CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) END)::BIGINT AS taken
-FROM p
+SELECT doc_id, size, source_size, target, (passes * size)::BIGINT AS taken, passes,
+       CASE WHEN passes > 0 THEN CASE rank % 3
+         WHEN 0 THEN (sqrt(greatest(0.0::DOUBLE, 4.0::DOUBLE + share * -4.0::DOUBLE)) - 2.0::DOUBLE) / -2.0::DOUBLE
+         WHEN 1 THEN share
+         ELSE sqrt(greatest(0.0::DOUBLE, share * 4.0::DOUBLE)) / 2.0::DOUBLE END END AS first_position
+FROM q
 """
