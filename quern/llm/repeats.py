@@ -1,11 +1,16 @@
-"""Removal of long repeated byte strings over a whole corpus (operator 4).
+"""Removal of long repeated byte strings over a whole corpus by prefix-free parsing (operator 4).
 
-Prefix-free parsing cuts a text at rolling-hash triggers, so that equal text gives equal phrases wherever it stands,
-and works on the dictionary of distinct phrases. Here the trigger of a window of WINDOW bytes is the least hash of its
-K-byte strings: every window has one, so none is missed, and windows that share a trigger form a phrase. Phrases overlap
-by WINDOW - 1 bytes, as prefix-free ones do. Only distinct phrases with a trigger in common are taken apart into
-windows. Since what is removed depends on which windows are equal, not on their order among strings, phrases and windows
-are grouped by digest where the full method would sort suffixes; corpus order decides who is first."""
+Prefix-free parsing cuts a text at rolling-hash triggers, so that equal text gives equal phrases wherever it stands. Here
+the trigger of a window of WINDOW bytes is the least hash of its K-byte strings: every window has one, so none is missed,
+and the windows that share a trigger form a phrase. Phrases overlap by WINDOW - 1 bytes, as prefix-free ones do, so every
+window lies inside one phrase. The distinct phrases are the dictionary, the phrases of all texts in corpus order the
+parse.
+
+The parse is sorted by phrase, then by corpus order: of each phrase the first occurrence is kept, all windows of the
+others are repeats. (A suffix array of the parse sorts by further phrases too; they decide nothing, as no window reaches
+beyond its phrase.) Equal windows of different phrases have the same trigger, so the dictionary is dealt out by trigger,
+and each part's suffix array, by prefix doubling up to WINDOW bytes, has them next to each other; with the corpus order of
+the phrases' first occurrences it tells which window is the first."""
 
 from __future__ import annotations
 
@@ -16,12 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Lookup, mix64, scratch, table, text_bytes
+from quern.llm.common import Lookup, mix64, named, scratch, table, text_bytes
 from quern.llm.suffix_tree import pack, unpack
 
 WINDOW, K = 100, 20
 CHUNK_BYTES, BATCH_BYTES = 1_500_000, 20_000_000
-#: Triggers with more distinct phrases than this are grouped by window instead of by trigger.
+#: The dictionary of a trigger with more distinct phrases than this is dealt out by window (128-bit digests) instead.
 HOT = 4_000
 _RNG = np.random.default_rng(11)
 _BYTE = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.int64).astype(np.uint64)
@@ -120,6 +125,25 @@ def _later(keys: list[np.ndarray], ids: np.ndarray, k: np.ndarray, at: np.ndarra
     return order, new, later
 
 
+def suffix_ranks(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The places of the windows text[s:s+WINDOW] in the sorted order of windows; equal windows share theirs.
+
+    The suffix array of text, cut off at WINDOW bytes, by prefix doubling: ranks of 8-byte strings, of 16, 32 and 64 from
+    pairs of ranks, and of WINDOW from the two of 64 that cover a window. The bytes themselves are compared, not hashes."""
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(WINDOW, np.uint8)])
+    key, width = np.zeros(n, np.uint64), 8
+    for k in range(width):
+        key = (key << np.uint64(8)) | padded[k : k + n]
+    rank = np.unique(key, return_inverse=True)[1]
+    while width * 2 <= WINDOW:
+        after = np.zeros(n, np.int64)  # beyond the end: rank 0, which no window reads
+        after[: n - width] = rank[width:]
+        rank = np.unique((rank << 32) | after, return_inverse=True)[1]
+        width *= 2
+    return np.unique((rank[starts] << 32) | rank[starts + WINDOW - width], return_inverse=True)[1]
+
+
 def _find(docs: DataFrame, buckets: int) -> DataFrame:
     """(db, blob): for each bucket of documents runs of windows (k, first, last, trigger, what) where what is 1 for
     windows that also start earlier, 2 for a distinct phrase whose trigger others share, 3 the same with a hot trigger."""
@@ -180,11 +204,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows of the same id and text are one document and have one result. Null texts are empty. Matches don't cross
     rows. Strings are judged on the input. No rows give no rows.
 
-    Texts travel once, to buckets of their hash; what travels for each phrase is two hashes and its place. Phrases
-    are merged by task before they travel. Triggers that more than HOT distinct phrases share are dealt by window."""
+    Texts travel once, to buckets of their hash of BATCH_BYTES on average, which a task holds whole (or one text, if that
+    is larger); what travels for each phrase is two hashes and its place. Phrases are merged by task before they travel.
+    The phrases of one trigger are counted in one task, 33 bytes for each distinct one of each part of CHUNK_BYTES of
+    text; where they are more than HOT, their windows are dealt out."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     d = d.withColumn("k", F.xxhash64("doc_id", "text", F.col("text").isNull()))
     # no null ids in pandas, which would make floats of a batch's ids
     d = d.select("text", "k", F.col("doc_id").isNull().alias("miss"), F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"))
@@ -233,21 +258,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for bucket, hot, blob in zip(pdf.bucket, pdf.hot, pdf.blob):
                 held.setdefault(bucket, []).append((hot, blob))
         while held:
-            parts = []
+            texts, hot_parts = [], []
             for hot, blob in held.popitem()[1]:
                 if hot:
-                    parts.append(unpack(blob, np.uint64, np.uint64, np.int64, np.int64, np.int64))
-                    continue
-                ids, k, first, lens, text = unpack(blob, np.int64, np.int64, np.int64, np.int64, np.uint8)
-                n = lens - WINDOW + 1
-                begin = np.cumsum(lens) - lens
+                    hot_parts.append(unpack(blob, np.uint64, np.uint64, np.int64, np.int64, np.int64))
+                else:
+                    texts.append(unpack(blob, np.int64, np.int64, np.int64, np.int64, np.uint8))
+            found = []
+            if texts:
+                ids, k, first, lens, text = (np.concatenate(x) for x in zip(*texts))
+                n, begin = lens - WINDOW + 1, np.cumsum(lens) - lens
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                s = np.repeat(begin, n) + step
-                parts.append([mix64(Rolling(text)(s, s + WINDOW)), mix64(Rolling(text, 1)(s, s + WINDOW)), np.repeat(ids, n), np.repeat(k, n), np.repeat(first, n) + step])
-            one, two, ids, k, at = (np.concatenate(x) for x in zip(*parts))
-            order, _, later = _later([one, two], ids, k, at)
-            pick = order[later]
-            pick = pick[np.lexsort([at[pick], k[pick]])]
+                rank = suffix_ranks(text, np.repeat(begin, n) + step)
+                again = np.flatnonzero(np.bincount(rank)[rank] > 1)
+                phrase = np.repeat(np.arange(len(n)), n)[again]
+                found.append(([rank[again]], ids[phrase], k[phrase], first[phrase] + step[again]))
+            if hot_parts:
+                one, two, ids, k, at = (np.concatenate(x) for x in zip(*hot_parts))
+                found.append(([one, two], ids, k, at))
+            repeats = []
+            for keys, ids, k, at in found:
+                order, _, later = _later(keys, ids, k, at)
+                repeats.append((k[order[later]], at[order[later]]))
+            k, at = (np.concatenate(x) for x in zip(*repeats))
+            pick = np.lexsort([at, k])
             if len(pick):
                 new = np.ones(len(pick), bool)
                 new[1:] = (k[pick[1:]] != k[pick[:-1]]) | (at[pick[1:]] - at[pick[:-1]] > 1)
@@ -286,4 +320,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its bytes, those removed and their runs, and the digest of what is left. Null texts are empty;
+    rows of one id and text are one document; an empty table gives no rows."""
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
