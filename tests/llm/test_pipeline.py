@@ -50,7 +50,7 @@ def test_stages(spark, tmp_path):
     bad = {x.doc_id for x in contaminated(before, spark.read.parquet(f"{d}/benchmark.parquet")).collect()}
     assert bad and ids(after) == sorted(set(ids(before)) - bad)
     before, after = held["mixing"]
-    want = {x.doc_id: x["__passes"] for x in plan_mix(before).collect()}
+    want = {x.id: x.passes for x in plan_mix(before).collect()}
     got = {x.doc_id: x["count"] for x in after.groupBy("doc_id").count().collect()}
     assert got == {k: v for k, v in want.items() if v}
 
