@@ -11,15 +11,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import MIX, Lookup, mix64, modulus, scratch, table, text_bytes
+from quern.llm.common import MIX, Lookup, mix64, modulus, named, scratch, table, text_bytes
 
-#: A word can be part of a context, or be predicted by one, from this share of all tokens on; a context of two words
-#: needs words of the second share; a string (context and next word) is kept from the third. Shares rather than
-#: counts: the tree keeps the same strings of a corpus twice as long, and holds 1 / share of them at most.
-WORD_SHARE, DEEP_SHARE, STRING_SHARE = 1e-6, 1e-4, 2e-7
-#: Taken off each kept count for what a state has not seen; nats of likelihood a kept string has to bring.
+#: A word can be part of a context, or be predicted by one, from this share of all tokens on (and two occurrences): the
+#: vocabulary, of 1 / share = 2,000,000 words at most, which fits 21 bits and is what is broadcast. Contexts and strings
+#: (a context and the next word) have no such bound: a string counts from MIN_COUNT on, a context by the divergence test.
+WORD_SHARE, MIN_COUNT, DEPTH = 5e-7, 2, 3
+#: Taken off each counted string for what a state has not seen; nats of likelihood that a counted string has to bring.
 DISCOUNT, DIVERGENCE = 0.75, 1.0
-CHUNK_CHARS, BATCH_BYTES = 4_000_000, 48_000_000
+#: Characters of texts that are packed together; bytes of text whose words a bucket takes; occurrences from which a word's
+#: contexts are dealt out to several buckets.
+CHUNK_CHARS, BATCH_BYTES, HOT = 4_000_000, 16_000_000, 1_000_000
 END = np.uint64(0x5BD1E995A5A5A5A5)
 PAD = 0.1
 
@@ -93,169 +95,155 @@ def _count(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Words:
-    """The frequent words, by hash, and what smooths all."""
+    """The vocabulary, by hash, and what smooths all."""
 
     find: Lookup
     p: np.ndarray  # base probability of each
-    count: np.ndarray
     total: int
     distinct: int
-    deep: np.ndarray  # whether it may stand in a context of two words
+    parts: np.ndarray  # buckets that the contexts that end with the word are dealt out to
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return (c + PAD) / (self.total + PAD * (self.distinct + 1))
 
 
-def _places(words: Words, h: np.ndarray, sizes: np.ndarray):
-    """Of each token: its number (-1: rare), those of the one and two tokens before it (-1: rare or none)."""
+def _places(words: Words, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each token its number (-1: rare), and those of the tokens one, two ... DEPTH before it (-1: none, rare, or beyond
+    a rare one)."""
     s = words.find(h)
-    one, two = np.full(len(s), -1), np.full(len(s), -1)
-    one[1:], two[2:] = s[:-1], s[:-2]
     starts = np.cumsum(sizes) - sizes
-    one[starts], two[starts] = -1, -1
-    second = starts[sizes > 1] + 1
-    two[second] = -1
-    pair = (one >= 0) & (two >= 0)
-    pair[pair] = words.deep[one[pair]] & words.deep[two[pair]]
-    return s, one, np.where(pair, two, -1)
+    place = np.arange(len(s)) - np.repeat(starts, sizes)
+    before, ok = [], np.ones(len(s), bool)
+    for d in range(1, DEPTH + 1):
+        one = np.full(len(s), -1, np.int64)
+        one[d:] = s[: max(len(s) - d, 0)]
+        ok = ok & (place >= d) & (one >= 0)
+        before.append(np.where(ok, one, -1))
+    return s, before
 
 
-def _string(one, two, s) -> np.ndarray:
-    """A context and a symbol as one key: 21 bits each, the nearer word first, so that a word's subtree sorts together."""
-    return ((one.astype(np.uint64) + np.uint64(1)) << np.uint64(42)) | ((two.astype(np.int64) + 1).astype(np.uint64) << np.uint64(21)) | (s.astype(np.int64) + 1).astype(np.uint64)
+def _contexts(before: list[np.ndarray]) -> np.ndarray:
+    """A context as one key: 21 bits for each word, the nearer first, so that a context's extensions sort next to it."""
+    key = np.zeros(len(before[0]), np.uint64)
+    for one in before:
+        key = (key << np.uint64(21)) | (one + 1).astype(np.uint64)
+    return key
 
 
-def _strings(docs: DataFrame, sent, buckets: int) -> DataFrame:
-    """(bucket, blob): of each task and bucket of context words the strings of training texts and their counts."""
+def _bucket(words: Words, near: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(near.astype(np.uint64) * MIX + part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
-    def flush(keys, counts):
-        u, back = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(back, np.concatenate(counts)).astype(np.uint32)
-        bucket = mix64(u >> np.uint64(42)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        rows = [(b, pack(_delta(u[order[lo:hi]]), c[order[lo:hi]])) for b, (lo, hi) in enumerate(zip(ends, ends[1:])) if hi > lo]
-        return pd.DataFrame(rows, columns=["bucket", "blob"])
+
+def _part(words: Words, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The part of a hot word's contexts that one belongs to, by the word before it."""
+    return (mix64((far + 1).astype(np.uint64)) % words.parts[near].astype(np.uint64)).astype(np.int64)
+
+
+def _hot_pairs(docs: DataFrame, sent) -> DataFrame:
+    """(near, symbol, c): how often each symbol (-1: any rare word) follows a hot word in training texts."""
 
     def run(frames):
         words, keys, counts, total = sent.value, [], [], 0
+
+        def flush():
+            u, back = np.unique(np.concatenate(keys), return_inverse=True)
+            c = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+            keys.clear(), counts.clear()
+            return pd.DataFrame({"near": (u >> np.uint64(21)).astype(np.int64), "symbol": (u & np.uint64((1 << 21) - 1)).astype(np.int64) - 1, "c": c})
+
         for pdf in frames:
             for part in _chunks(pdf[pdf.train]):
-                h, sizes = token_hashes(part.text)
-                s, one, two = _places(words, h, sizes)
-                ok = one >= 0
-                flat = _string(one[ok], np.full(int(ok.sum()), -1), s[ok])  # symbol 0: any rare word
-                ok &= two >= 0
-                u, c = np.unique(np.concatenate([flat, _string(one[ok], two[ok], s[ok])]), return_counts=True)
+                s, before = _places(words, *token_hashes(part.text))
+                near = before[0]
+                hot = near >= 0
+                hot[hot] = words.parts[near[hot]] > 1
+                u, c = np.unique((near[hot].astype(np.uint64) << np.uint64(21)) | (s[hot] + 1).astype(np.uint64), return_counts=True)
                 keys.append(u), counts.append(c)
                 total += len(u)
-                if total > 6_000_000:
-                    yield flush(keys, counts)
-                    keys, counts, total = [], [], 0
+                if total > 3_000_000:
+                    yield flush()
+                    total = 0
         if keys:
-            yield flush(keys, counts)
-
-    return docs.select("text", "train").mapInPandas(run, "bucket int, blob binary")
-
-
-def _grow(strings: DataFrame, sent, buckets: int, least_context: int, least_string: int) -> DataFrame:
-    """(key, value): the tree. Keys with symbol 0 are states, their value the share left to the suffix; others are
-    strings, their value the discounted probability of the symbol in the state.
-
-    A bucket holds whole subtrees: all contexts that end with its words. Counts of a bucket come summed by task, so
-    a very common word costs as many entries as it has followers, once a task."""
-
-    def fit(keys, counts):
-        words = sent.value
-        # sum what the tasks sent
-        u, back = np.unique(keys, return_inverse=True)
-        c = np.bincount(back, counts)
-        ctx, sym = u >> np.uint64(21), (u & np.uint64((1 << 21) - 1)).astype(np.int64) - 1
-        node, at = np.unique(ctx, return_inverse=True)
-        total = np.bincount(at, c)
-        keep = (c >= least_string) & (sym >= 0) & (total[at] >= least_context)
-        a = np.where(keep, (c - DISCOUNT) / total[at], 0.0)
-        left = 1 - np.bincount(at, a, len(node))
-        base = np.where(sym >= 0, words.p[np.maximum(sym, 0)], 1.0)
-        rest = total - np.bincount(at, c * keep, len(node))
-        kinds = np.bincount(at, keep, len(node))
-        out_keys, out_values = [], []
-        deep = (node & np.uint64((1 << 21) - 1)) > 0
-        p_suffix, held = base, {}
-        for level in (False, True):
-            here = (deep == level)[at] & keep
-            if level:  # the suffix of a two-word context is its nearer word, if that is a state
-                parent = (ctx[here] >> np.uint64(21)) << np.uint64(21)
-                p_suffix = base.copy()
-                p_suffix[here] = held["p"](parent, sym[here], base[here])
-            p = a + left[at] * p_suffix
-            gain = np.bincount(at[here], c[here] * np.log(p[here] / p_suffix[here]), len(node)) + rest * np.log(np.maximum(left, 1e-12))
-            good = (deep == level) & (kinds > 0) & (gain > DIVERGENCE * (1 + kinds))
-            if not level:
-                states, strings_ = node[good] << np.uint64(21), here & good[at]
-                find_s, find_p = Lookup(states), Lookup(u[strings_])
-                value_s, value_p = np.append(left[good], 1.0), np.append(a[strings_], 0.0)
-                held["p"] = lambda parent, sym, base: value_p[find_p((parent << np.uint64(21)) | (sym + 1).astype(np.uint64))] + value_s[find_s(parent << np.uint64(21))] * base
-            out_keys += [node[good] << np.uint64(21), u[here & good[at]]]
-            out_values += [left[good], a[here & good[at]]]
-        return pd.DataFrame({"key": np.concatenate(out_keys).view(np.int64), "value": np.concatenate(out_values)})
-
-    def run(frames):
-        held: dict[int, list] = {}
-        for pdf in frames:
-            for bucket, blob in zip(pdf.bucket, pdf.blob):
-                d, c = unpack(blob, np.uint64, np.uint32)
-                held.setdefault(bucket, []).append((np.cumsum(d, dtype=np.uint64), c))
-                if len(held[bucket]) >= 16:  # keep what waits small
-                    u, back = np.unique(np.concatenate([x[0] for x in held[bucket]]), return_inverse=True)
-                    held[bucket] = [(u, np.bincount(back, np.concatenate([x[1] for x in held[bucket]])))]
-        for parts in held.values():
-            yield fit(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]).astype(np.float64))
-
-    return strings.repartition(buckets, "bucket").mapInPandas(run, "key long, value double")
-
-
-@dataclass
-class Tree:
-    words: Words
-    find: Lookup
-    value: np.ndarray
-
-    def logs(self, h: np.ndarray, sizes: np.ndarray):
-        """Of each token: its number, and log10 of its probability; for rare tokens (number -1) of the share that its
-        state leaves them, to which the log10 of their base probability is to be added."""
-        s, one, two = _places(self.words, h, sizes)
-        p = np.where(s >= 0, self.words.p[np.maximum(s, 0)], 1.0)
-        for depth, live in ((1, np.flatnonzero(one >= 0)), (2, np.flatnonzero(two >= 0))):
-            near, far = one[live], two[live] if depth == 2 else np.full(len(live), -1)
-            state = self.find(_string(near, far, np.full(len(live), -1)))
-            live, near, far, state = live[state >= 0], near[state >= 0], far[state >= 0], state[state >= 0]
-            got = self.value[self.find(_string(near, far, s[live]))]
-            p[live] = np.where(s[live] >= 0, got, 0.0) + self.value[state] * p[live]
-        return s, np.log10(p)
-
-
-def _score(docs: DataFrame, sent, buckets: int) -> DataFrame:
-    """Scans all texts once: what frequent words say is summed where the text is; rare words go, with the numbers of
-    their documents, to a bucket that knows their count, and come back as sums to the batch of texts they are of."""
+            yield flush()
+
+    return docs.select("text", "train").mapInPandas(run, "near long, symbol long, c long").groupBy("near", "symbol").agg(F.sum("c").alias("c"))
+
+
+def _grown(words: Words, key: np.ndarray, sym: np.ndarray, c: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The probability of each string (context key, symbol; sorted by them, each once), c: its training count.
+
+    Level by level: the contexts of d words are runs of the sorted keys. Of each, the strings of MIN_COUNT or more give
+    their discounted share; the context is a state if that makes its own continuations likelier than its suffix's
+    distribution by more than DIVERGENCE a string; what it leaves goes to the suffix. Rare symbols have what their states
+    leave them of 1, to be multiplied with their base probability. pairs: (near, symbol) keys and counts of hot words."""
+    p = np.where(sym >= 0, words.p[np.maximum(sym, 0)], 1.0)
+    for d in range(1, DEPTH + 1):
+        ctx = key >> np.uint64(21 * (DEPTH - d))
+        live = np.flatnonzero((ctx & np.uint64((1 << 21) - 1)) > 0)
+        if not len(live):
+            break
+        node = np.cumsum(np.append(True, ctx[live][1:] != ctx[live][:-1])) - 1
+        n = int(node[-1]) + 1
+        # one entry for each symbol of a context of d words
+        u, first, back = np.unique((node.astype(np.uint64) << np.uint64(21)) | (sym[live] + 1).astype(np.uint64), return_index=True, return_inverse=True)
+        count, at, s, q = np.bincount(back, c[live]), node[first], sym[live][first], p[live][first]
+        if d == 1 and len(pairs[0]):
+            near = (ctx[live] - np.uint64(1)).astype(np.int64)
+            hot_node = np.zeros(n, bool)
+            hot_node[node] = words.parts[near] > 1
+            # what follows a hot word stands in other buckets too: its counts come with the pairs
+            of = np.full(len(words.p), -1)
+            of[near] = node
+            pn = of[(pairs[0] >> np.uint64(21)).astype(np.int64)]
+            ok = pn >= 0
+            u2 = (pn[ok].astype(np.uint64) << np.uint64(21)) | (pairs[0][ok] & np.uint64((1 << 21) - 1))
+            own = ~hot_node[at]
+            merged, place = np.unique(np.concatenate([u[own], u2, u[~own]]), return_inverse=True)
+            count2 = np.bincount(place[: own.sum() + len(u2)], np.concatenate([count[own], pairs[1][ok]]), len(merged))
+            s_all = (merged & np.uint64((1 << 21) - 1)).astype(np.int64) - 1
+            back, u, count, at, s = np.searchsorted(merged, u)[back], merged, count2, (merged >> np.uint64(21)).astype(np.int64), s_all
+            q = np.where(s >= 0, words.p[np.maximum(s, 0)], 1.0)
+        total = np.bincount(at, count, n)
+        keep = (count >= MIN_COUNT) & (s >= 0)
+        a = np.where(keep, (count - DISCOUNT) / np.maximum(total[at], 1), 0.0)
+        left, kinds = 1 - np.bincount(at, a, n), np.bincount(at, keep, n)
+        rest = total - np.bincount(at, count * keep, n)
+        own = a + left[at] * q
+        gain = np.bincount(at[keep], count[keep] * np.log(own[keep] / q[keep]), n) + rest * np.log(np.maximum(left, 1e-12))
+        state = (kinds > 0) & (gain > DIVERGENCE * (1 + kinds))
+        p[live] = np.where(state[node], own[back], p[live])
+    return p
+
+
+def _score(docs: DataFrame, pairs: DataFrame | None, sent, buckets: int) -> DataFrame:
+    """Scans all texts once more. Every token with a context goes, packed with others of its batch, to the bucket of the
+    context's nearest word (a part of it, if the word is hot), which counts the training ones, grows its part of the tree
+    and scores all; rare words go to a bucket that knows their count. Both come back as sums to the batch of texts."""
 
     def scan(frames):
-        tree, part_no = sent.value, TaskContext.get().partitionId()
-        words, n = tree.words, 0
+        words, part_no, n = sent.value, TaskContext.get().partitionId(), 0
         for pdf in frames:
             for part in _chunks(pdf):
                 h, sizes = token_hashes(part.text)
-                s, logs = tree.logs(h, sizes)
+                s, before = _places(words, h, sizes)
                 doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-                known = s >= 0
+                known, m = s >= 0, len(sizes)
                 base = np.where(known, np.log10(words.p[np.maximum(s, 0)]), 0.0)
-                m = len(sizes)
                 batch = (part_no << 24) + n
                 n += 1
+                train = part.train.to_numpy(bool)
+                held = before[0] >= 0
                 ids, miss = part.doc_id.to_numpy(np.int64), part.miss.to_numpy(bool)
-                own = pack(ids, miss, part.train.to_numpy(bool), sizes, np.bincount(doc, known, m).astype(np.int64), np.bincount(doc, base, m), np.bincount(doc, logs, m))
-                rows = [(batch % buckets, batch, True, own)]
-                w, d, y = h[~known], doc[~known], part.train.to_numpy(bool)[doc[~known]]
+                own = pack(ids, miss, train, sizes, np.bincount(doc, known, m).astype(np.int64), np.bincount(doc, base, m), np.bincount(doc, np.where(held, 0.0, base), m))
+                rows = [(batch % buckets, batch, 0, own)]
+                key, symbol, d = _contexts(before)[held], (s[held] + 1).astype(np.uint32), doc[held]
+                bucket = _bucket(words, before[0][held], _part(words, before[0][held], before[1][held]), buckets)
+                order = np.lexsort((symbol, key, bucket))
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(ends)):
+                    at = order[ends[b] : ends[b + 1]]
+                    rows.append((int(b), batch, 1, pack(_delta(key[at]), symbol[at], (d[at] << np.uint32(1)) | train[d[at]])))
+                w, d, y = h[~known], doc[~known], train[doc[~known]]
                 order = np.lexsort((d, w))
                 w, d, y = w[order], d[order], y[order]
                 bucket = (w >> np.uint64(33)) % np.uint64(buckets)
@@ -263,92 +251,139 @@ def _score(docs: DataFrame, sent, buckets: int) -> DataFrame:
                 ends = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
                 for b in np.flatnonzero(np.diff(ends)):
                     at = by[ends[b] : ends[b + 1]]
-                    rows.append((int(b), batch, False, pack(_delta(w[at]), d[at], y[at])))
-                yield pd.DataFrame(rows, columns=["bucket", "batch", "own", "blob"])
-
-    def rare(frames):
-        words, got = sent.value.words, {}
+                    rows.append((int(b), batch, 2, pack(_delta(w[at]), d[at], y[at])))
+                yield pd.DataFrame(rows, columns=["bucket", "batch", "kind", "blob"]).assign(near=0, symbol=0, c=0)
+
+    def sums(batch, doc, known, base, score):
+        docs_, back = np.unique(doc, return_inverse=True)
+        return (batch, False, pack(docs_.astype(np.uint32), np.bincount(back, known).astype(np.int64), np.bincount(back, base), np.bincount(back, score)))
+
+    def rare(words, parts):
+        parts.sort(key=lambda x: x[0])
+        seen, train = [], []
+        for _, blob in parts:
+            d, _, y = unpack(blob, np.uint64, np.uint32, bool)
+            seen.append(np.cumsum(d, dtype=np.uint64)), train.append(y)
+        u, c = np.unique(np.concatenate(seen)[np.concatenate(train)], return_counts=True)
+        find, c = Lookup(u), np.append(c, 0)
+        for (batch, blob), w in zip(parts, seen):
+            count = c[find(w)]
+            logs = np.log10(words.base(count))
+            yield sums(batch, unpack(blob, np.uint64, np.uint32, bool)[1], count > 0, logs, logs)
+
+    def frequent(words, parts, pairs):
+        parts.sort(key=lambda x: x[0])
+        got = [unpack(blob, np.uint64, np.uint32, np.uint32) for _, blob in parts]
+        key, symbol = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), np.concatenate([g[1] for g in got])
+        doc = np.concatenate([g[2] for g in got])
+        order = np.lexsort((symbol, key))
+        new = np.append(True, (key[order][1:] != key[order][:-1]) | (symbol[order][1:] != symbol[order][:-1]))
+        string = np.empty(len(order), np.int64)
+        string[order] = np.cumsum(new) - 1
+        heads = order[new]
+        p = _grown(words, key[heads], symbol[heads].astype(np.int64) - 1, np.bincount(string, doc & 1), pairs)
+        logs, at = np.log10(p)[string], 0
+        zero = np.zeros(max(len(g[0]) for g in got))
+        for (batch, _), g in zip(parts, got):
+            n = len(g[0])
+            yield sums(batch, g[2] >> np.uint32(1), zero[:n], zero[:n], logs[at : at + n])
+            at += n
+
+    def meet(frames):
+        words, got = sent.value, {}
         for pdf in frames:
-            pdf_own = pdf[pdf.own]
-            if len(pdf_own):
-                yield pdf_own[["batch", "own", "blob"]]
-            for bucket, batch, own, blob in zip(pdf.bucket, pdf.batch, pdf.own, pdf.blob):
-                if not own:
-                    got.setdefault(bucket, []).append((batch, blob))
-        for parts in got.values():
-            parts.sort(key=lambda x: x[0])
-            seen, train = [], []
-            for _, blob in parts:
-                d, _, y = unpack(blob, np.uint64, np.uint32, bool)
-                seen.append(np.cumsum(d, dtype=np.uint64)), train.append(y)
-            u, c = np.unique(np.concatenate(seen)[np.concatenate(train)], return_counts=True)
-            find, c = Lookup(u), np.append(c, 0)
-            del train
-            for (batch, blob), w in zip(parts, seen):
-                d = unpack(blob, np.uint64, np.uint32, bool)[1]
-                count = c[find(w)]
-                docs_, back = np.unique(d, return_inverse=True)
-                yield pd.DataFrame(
-                    {
-                        "batch": [batch],
-                        "own": [False],
-                        "blob": [pack(docs_, np.bincount(back, count > 0).astype(np.int64), np.bincount(back, np.log10(words.base(count))))],
-                    }
-                )
+            own = pdf[pdf.kind == 0]
+            if len(own):
+                yield pd.DataFrame({"batch": own.batch, "own": True, "blob": own.blob})
+            rest = pdf[(pdf.kind == 1) | (pdf.kind == 2)]
+            for bucket, batch, kind, blob in zip(rest.bucket, rest.batch, rest.kind, rest.blob):
+                got.setdefault(bucket, ([], [], []))[kind].append((batch, blob))
+            hot = pdf[pdf.kind == 3]
+            for bucket, g in hot.groupby("bucket"):
+                key = (g.near.to_numpy().astype(np.uint64) << np.uint64(21)) | (g.symbol.to_numpy() + 1).astype(np.uint64)
+                got.setdefault(bucket, ([], [], []))[0].append((key, g.c.to_numpy().astype(np.float64)))
+        while got:
+            _, (hot, strings, words_) = got.popitem()
+            pairs = tuple(np.concatenate(x) for x in zip(*hot)) if hot else (np.zeros(0, np.uint64), np.zeros(0))
+            out = list(frequent(words, strings, pairs)) if strings else []
+            out += rare(words, words_) if words_ else []
+            if out:
+                yield pd.DataFrame(out, columns=["batch", "own", "blob"])
 
     def gather(frames):
-        own, sums = {}, {}
+        own, more = {}, {}
         for pdf in frames:
             for batch, is_own, blob in zip(pdf.batch, pdf.own, pdf.blob):
                 if is_own:
                     own[batch] = blob
                 else:
-                    sums.setdefault(batch, []).append(blob)
-        total = sent.value.words.total
+                    more.setdefault(batch, []).append(blob)
+        total = sent.value.total
         for batch, blob in own.items():
             ids, miss, train, sizes, known, base, score = (x.copy() for x in unpack(blob, np.int64, bool, bool, np.int64, np.int64, np.float64, np.float64))
-            more = [unpack(b, np.uint32, np.int64, np.float64) for b in sums.pop(batch, [])]
-            for d, k, b in sorted(more, key=lambda x: (len(x[0]), x[0].tobytes(), x[2].tobytes())):  # one order of adding: reruns agree
+            got = [unpack(b, np.uint32, np.int64, np.float64, np.float64) for b in more.pop(batch, [])]
+            for d, k, b, p in sorted(got, key=lambda x: (len(x[0]), x[0].tobytes(), x[3].tobytes())):  # one order of adding: reruns agree
                 known[d] += k
                 base[d] += b
-                score[d] += b
+                score[d] += p
             yield pd.DataFrame(
                 {"doc_id": pd.arrays.IntegerArray(ids, miss), "held_out": ~train, "n_tokens": sizes, "n_known": known, "train_tokens": total, "base_score": base, "score": score}
             )
 
-    out = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("miss"), "text", "train").mapInPandas(scan, "bucket int, batch long, own boolean, blob binary")
-    out = out.repartition(buckets, "bucket").mapInPandas(rare, "batch long, own boolean, blob binary")
+    out = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("miss"), "text", "train")
+    out = out.mapInPandas(scan, "bucket long, batch long, kind int, blob binary, near long, symbol long, c long")
+    if pairs is not None:
+
+        def deal(frames):
+            words = sent.value
+            for pdf in frames:
+                near = pdf.near.to_numpy()
+                times = words.parts[near]
+                row = np.repeat(np.arange(len(pdf)), times)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                dealt = pd.DataFrame({"bucket": _bucket(words, near[row], part, buckets), "batch": 0, "kind": 3, "blob": None, "near": near[row], "symbol": pdf.symbol.to_numpy()[row], "c": pdf.c.to_numpy()[row]})
+                # parts of one word may share a bucket, which needs its pairs once
+                yield dealt.drop_duplicates(["bucket", "near", "symbol"])
+
+        out = out.union(pairs.mapInPandas(deal, "bucket long, batch long, kind int, blob binary, near long, symbol long, c long"))
+    out = out.repartition(buckets, "bucket").mapInPandas(meet, "batch long, own boolean, blob binary")
     return out.repartition(buckets, "batch").mapInPandas(
         gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
 def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fits a suffix tree on the rows for which train (a column) holds and scores every row.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, by a suffix tree that is fitted
+    on the rows for which train (a column) holds.
 
-    The tree's root is the smoothed unigram distribution over all words. A context of one or two words is a state
-    if it is frequent enough and predicting by it, rather than by its suffix, makes its own continuations likelier by
-    more than DIVERGENCE a string; its distribution is discounted and smoothed by its suffix's. A token is scored by
+    The tree's root is the smoothed unigram distribution over all words. A context of one to DEPTH words of the vocabulary
+    is a state if predicting by it, rather than by its longest suffix that is a state, makes its own continuations likelier
+    by more than DIVERGENCE a string; its distribution is discounted and smoothed by its suffix's. A token is scored by
     the longest state that its context ends with. Null texts are empty and score their end; rows that share an id are
-    scored each; with no training rows every token has the same probability; no rows give none."""
+    scored each; with no training rows every token has the same probability; no rows give none; other columns don't
+    matter.
+
+    Only the vocabulary is broadcast; no task holds the tree: a bucket grows the subtrees of its words and scores the
+    tokens that come with them. A word of more than HOT occurrences is dealt out by the word before it, and what follows
+    it is counted beforehand, with a combine before the shuffle, and sent to all its parts."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), train.alias("train"))
+    d = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), train.alias("train"))
     buckets = max(8, -(-text_bytes(d, "text") // BATCH_BYTES))
     counts = scratch(spark, _count(d), "words")
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     total = total or 0
     often = counts.where(F.col("c") >= max(2.0, WORD_SHARE * total)).toPandas().sort_values(["c", "w"], ascending=[False, True])
     c = often.c.to_numpy(np.int64)
-    words = Words(Lookup(often.w.to_numpy(np.int64).view(np.uint64)), np.ones(1), c, total, distinct, c >= DEEP_SHARE * total)
+    words = Words(Lookup(often.w.to_numpy(np.int64).view(np.uint64)), np.ones(1), total, distinct, 1 + c // HOT)
     words.p = words.base(c) if len(c) else np.ones(1)
+    if not len(c):
+        words.parts = np.ones(1, np.int64)
     sent = spark.sparkContext.broadcast(words)
-    strings = _strings(d, sent, buckets)
-    grown = _grow(strings, sent, buckets, max(2, round(WORD_SHARE * total)), max(2, round(STRING_SHARE * total))).toPandas()
-    grown = grown.sort_values("key")
-    tree = Tree(words, Lookup(grown.key.to_numpy(np.int64).view(np.uint64)), np.append(grown.value.to_numpy(), 0.0))
-    return _score(d, spark.sparkContext.broadcast(tree), buckets)
+    pairs = scratch(spark, _hot_pairs(d, sent), "pairs") if (words.parts > 1).any() else None
+    return _score(d, pairs, sent, buckets)
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, base score and score, from rows whose crc32 of the id is not 0 modulo 10 (a null id counts
+    as the empty text). Null texts score their end; repeated rows are scored each; an empty table gives no rows."""
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), modulus("doc_id", 10) != 0)

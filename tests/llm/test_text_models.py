@@ -29,8 +29,94 @@ def test_suffix_tree_base(docs, corpus):
     assert all(np.isfinite(r.score) and r.score <= 0 for r in out)
 
 
+def brute_suffix_tree(rows, train, depth):
+    """log10 P(text) by dictionaries of contexts."""
+    counts = Counter(x for i, t in rows if train(i) for x in tokens(t))
+    total, kinds = sum(counts.values()), len(counts)
+    base = lambda w: (counts[w] + 0.1) / (total + 0.1 * (kinds + 1))
+    known = {w for w, c in counts.items() if c >= max(2, suffix_tree.WORD_SHARE * total)}
+
+    def contexts(ts, n):
+        out = []
+        for d in range(1, depth + 1):
+            if n - d < 0 or ts[n - d] not in known:
+                break
+            out.append(tuple(ts[n - d : n][::-1]))  # the nearer first
+        return out
+
+    after = {}
+    for i, t in rows:
+        if train(i):
+            ts = tokens(t)
+            for n, w in enumerate(ts):
+                for h in contexts(ts, n):
+                    after.setdefault(h, Counter())[w if w in known else "?rare"] += 1
+    states = {}
+
+    def p(h, w):
+        """P(w) by the longest state that h ends with; of rare words the share that is left to them."""
+        q = base(w) if w in known else 1.0
+        for d in range(1, len(h) + 1):
+            if h[:d] in states:
+                a, left = states[h[:d]]
+                q = a.get(w, 0.0) + left * q
+        return q
+
+    for d in range(1, depth + 1):
+        for h, c in [x for x in after.items() if len(x[0]) == d]:
+            n = sum(c.values())
+            a = {w: (k - suffix_tree.DISCOUNT) / n for w, k in c.items() if k >= suffix_tree.MIN_COUNT and w in known}
+            left = 1 - sum(a.values())
+            if not a:
+                continue
+            q = {w: p(h[:-1], w) for w in a}
+            gain = sum(c[w] * math.log((a[w] + left * q[w]) / q[w]) for w in a) + (n - sum(c[w] for w in a)) * math.log(max(left, 1e-12))
+            if gain > suffix_tree.DIVERGENCE * (1 + len(a)):
+                states[h] = a, left
+    out = []
+    for _, t in rows:
+        ts = tokens(t)
+        logs = 0.0
+        for n, w in enumerate(ts):
+            h = contexts(ts, n)
+            logs += math.log10(p(h[-1] if h else (), w) * (1.0 if w in known else base(w)))
+        out.append(logs)
+    return out, states
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 5])
+def test_suffix_tree_score(spark, corpus, monkeypatch, hot):
+    """Scores against brute force, with and without words whose contexts are dealt out to several buckets."""
+    r = random.Random(4)
+    names = [f"w{k}" for k in range(12)]
+    step = {(a, b): r.choices(names, k=3) for a in names for b in names}
+    rows = []
+    for i in range(150):
+        ts = r.choices(names, k=2)
+        for _ in range(r.randint(0, 40)):
+            ts.append(r.choice(step.get((ts[-2], ts[-1]), names)) if r.random() < 0.9 else f"rare{r.randint(0, 60)}" if r.random() < 0.5 else r.choice(names))
+        rows.append((i, " ".join(ts)))
+    rows += [(i, t) for i, t, *_ in corpus if i is not None and i < 60 and i != 3]
+    train = lambda i: i % 5 != 0
+    monkeypatch.setattr(suffix_tree, "HOT", hot)
+    df = spark.createDataFrame([(n, t) for n, (i, t) in enumerate(rows)], "doc_id long, text string").repartition(3)
+    want, states = brute_suffix_tree(list(enumerate(t for _, t in rows)), train, suffix_tree.DEPTH)
+    assert {len(h) for h in states} == {1, 2, 3}
+    got = {x.doc_id: x.score for x in suffix_tree.score_documents(df, F.col("doc_id") % 5 != 0).collect()}
+    assert [got[n] for n in range(len(rows))] == pytest.approx(want, rel=1e-9)
+
+
+def test_op1_query(spark, tmp_path):
+    spark.createDataFrame([(i, "a b c a b c") for i in range(30)] + [(None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = suffix_tree.op1_suffix_tree(spark, str(tmp_path))
+    assert df.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    out = df.collect()
+    assert len(out) == 31 and all(x.held_out == (zlib.crc32(b"" if x.doc_id is None else str(x.doc_id).encode()) % 10 == 0) for x in out)
+    assert {x.n_tokens for x in out} == {7, 1} and all(x.score >= x.base_score for x in out if x.doc_id is not None)
+
+
 def test_states_add_up(spark):
-    """What a state gives its strings and leaves its suffix is 1, and a text that repeats is likelier than its words."""
+    """A text that repeats is likelier than its words, and the tree's gain is of order, not of words."""
     text = "the cat sat on the mat and the cat ran " * 40
     df = spark.createDataFrame([(i, text) for i in range(20)] + [(99, "mat the on cat the sat " * 40)], "doc_id long, text string")
     out = {r.doc_id: r for r in suffix_tree.score_documents(df, F.col("doc_id") < 15).collect()}
