@@ -12,25 +12,37 @@ from pyspark.sql import functions as F
 from quern.llm.common import scratch
 
 
-def by_key(df: DataFrame, key: list[str], each: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+def by_key(
+    df: DataFrame,
+    key: list[str],
+    each: Callable[[pd.DataFrame], pd.DataFrame | None],
+    schema: str,
+    small: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame] | None = None,
+    upto: int = 1,
+) -> DataFrame:
     """each() over the rows of every key, as mapInPandas over partitions sorted by key: no Python call a group through
-    Spark, which matters with hundreds of thousands of small groups. A task holds one group and a batch at a time."""
+    Spark, which matters with hundreds of thousands of small groups. Groups of 2 to upto rows go to small() instead, many
+    at once, with the number of each row's group. A task holds one group and a batch at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
 
         def flush(pdf: pd.DataFrame, last: bool):
             k = pdf[key].to_numpy()
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-            ends = [*cuts, len(pdf)]
-            out, lo = [], 0
-            for hi in ends if last else ends[:-1]:
-                if hi - lo > 1:
-                    got = each(pdf.iloc[lo:hi])
-                    if got is not None and len(got):
-                        out.append(got)
-                lo = hi
-            return out, pdf.iloc[lo:]
+            begin = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1])
+            end = np.append(begin[1:], len(pdf))
+            whole = np.arange(len(begin)) < len(begin) - (not last)
+            size, out = end - begin, []
+            few = whole & (size > 1) & (size <= upto)
+            if small is not None and few.any():
+                of = np.repeat(np.arange(len(begin)), size)
+                rows = few[of]
+                out.append(small(pdf[rows], of[rows]))
+            for g in np.flatnonzero(whole & (size > (upto if small is not None else 1))):
+                got = each(pdf.iloc[begin[g] : end[g]])
+                if got is not None:
+                    out.append(got)
+            return [x for x in out if len(x)], pdf.iloc[len(pdf) if last else begin[-1] :]
 
         for pdf in frames:
             if len(pdf):

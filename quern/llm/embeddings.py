@@ -16,8 +16,9 @@ from quern.llm.common import components, discard, named, scratch, table
 MAX_FIT, MAX_FIT_BYTES, ROUNDS, BITS = 10_000, 64_000_000, 30, 64
 #: Share of the pairs just at the threshold that the tables are to find; vectors of one group compared in a task.
 RECALL, MOST = 0.98, 2_000
-#: A group with more candidate pairs than this for each of its vectors is compared where it lies, with the vectors.
-SPARSE = 4
+#: A group with more candidate pairs than this for each of its vectors is compared where it lies, with the vectors, if it
+#: has more than SMALL of them.
+SPARSE, SMALL = 4, 24
 
 
 def _sound(v: Column) -> Column:
@@ -120,7 +121,18 @@ def _candidates(rows: DataFrame, tables: Tables) -> DataFrame:
             return pd.DataFrame(one | {"block": 0, "node": -1, "a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
         return pd.DataFrame(one | {"block": block[has], "node": node[has], "a": -1, "b": -1})
 
-    return by_key(rows, _GROUP, compare, "table int, key long, lo int, hi int, block int, node long, a long, b long")
+    def small(g: pd.DataFrame, of: np.ndarray) -> pd.DataFrame:
+        code, node, block, whole = g.code.to_numpy().view(np.uint64), g.node.to_numpy(), g.block.to_numpy(), (g.lo == g.hi).to_numpy()
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for apart in range(1, SMALL):
+            i = np.flatnonzero(of[apart:] == of[:-apart])
+            j = i + apart
+            near = (np.bitwise_count(code[i] ^ code[j]) <= tables.within) & (whole[i] | (block[i] != block[j]))
+            left.append(i[near]), right.append(j[near])
+        i, j = np.concatenate(left), np.concatenate(right)
+        return pd.DataFrame({c: g[c].to_numpy()[i] for c in _GROUP} | {"block": 0, "node": -1, "a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+    return by_key(rows, _GROUP, compare, "table int, key long, lo int, hi int, block int, node long, a long, b long", small, SMALL)
 
 
 def _sparse_links(pairs: DataFrame, vectors: DataFrame, tables: Tables, threshold: float, dim: int) -> DataFrame:

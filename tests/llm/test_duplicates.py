@@ -31,6 +31,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_suffix_ranks():
+    """Ranks are those of the sorted windows, of texts with long repeats."""
+    rng = np.random.default_rng(2)
+    text = np.concatenate([rng.integers(0, 3, 400), np.zeros(250), np.tile(rng.integers(0, 256, 130), 3), rng.integers(0, 2, 150)]).astype(np.uint8)
+    starts = np.arange(0, len(text) - repeats.WINDOW + 1)
+    windows = [text[s : s + repeats.WINDOW].tobytes() for s in starts]
+    place = {w: n for n, w in enumerate(sorted(set(windows)))}
+    assert repeats.suffix_ranks(text, starts).tolist() == [place[w] for w in windows]
+
+
+def test_op4_query(spark, tmp_path):
+    spark.createDataFrame([(1, "ab" * 60), (2, "x" + "ab" * 60), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = repeats.op4_repeated_strings(spark, str(tmp_path))
+    assert df.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(tuple(r)[:4] for r in df.collect()) == [(1, 120, 118, 1), (2, 121, 120, 1), (3, 0, 0, 0)]
 
 
 def test_repeats(docs, none, spark, corpus, monkeypatch):
@@ -172,8 +187,8 @@ def brute_embeddings(rows, threshold=0.9):
     return Counter((i, n[k], least.get(root(k)), i == least.get(root(k))) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("most,sparse", [(2_000, 4), (8, 4), (2_000, 0), (8, 0), (8, 10_000)])
-def test_embeddings(spark, monkeypatch, most, sparse):
+@pytest.mark.parametrize("most,sparse,small", [(2_000, 4, 24), (8, 0, 1), (2_000, 0, 1), (8, 10_000, 3)])
+def test_embeddings(spark, monkeypatch, most, sparse, small):
     """All links, components and kept flags against brute force: sparse and dense groups, blocks, odd rows, null ids."""
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 32))
@@ -184,6 +199,7 @@ def test_embeddings(spark, monkeypatch, most, sparse):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     monkeypatch.setattr(embeddings, "MOST", most)
     monkeypatch.setattr(embeddings, "SPARSE", sparse)
+    monkeypatch.setattr(embeddings, "SMALL", small)
     assert Counter(tuple(r) for r in embeddings.linked(df).collect()) == brute_embeddings(rows)
 
 
@@ -241,25 +257,24 @@ def brute_contaminated(rows, items):
         a = tok(t)
         for j, u in items:
             b = tok(u)
-            for x in range(len(a) - decontam.SPAN + 1):
-                for y in range(len(b) - decontam.SPAN + 1):
-                    if any(all(a[x + o] == b[y + o] for o in m) for m in decontam.MASKS):
-                        for s in range(decontam.WINDOW - decontam.SPAN + 1):
-                            p, q = x - s, y - s
-                            if p >= 0 and q >= 0 and p + decontam.WINDOW <= len(a) and q + decontam.WINDOW <= len(b) and sum(a[p + o] == b[q + o] for o in range(decontam.WINDOW)) >= decontam.NEEDED:
-                                out.add((i, j))
+            n = min(decontam.WINDOW, len(b))  # the rule alone: no mask is asked
+            for p in range(len(a) - n + 1):
+                for q in range(len(b) - n + 1):
+                    same = [a[p + o] == b[q + o] for o in range(n)]
+                    if n == decontam.WINDOW and sum(same) >= decontam.NEEDED or decontam.SPAN <= n < decontam.WINDOW and sum(same) >= n - 1 and (n > decontam.SPAN or same[-1]):
+                        out.add((i, j))
     return out
 
 
 def test_decontamination(spark, docs, none):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdef") for _ in range(4))
-    items = [(j, " ".join(word() for _ in range(r.choice([5, 13, 20, 40])))) for j in range(12)] + [(50, None), (51, "")]
+    items = [(j, " ".join(word() for _ in range(r.choice([5, 9, 11, 13, 20, 40])))) for j in range(16)] + [(50, None), (51, "")]
     rows = []
     for i in range(60):
         t = [word() for _ in range(r.randint(0, 40))]
-        if i % 2 and items[i % 12][1]:
-            leak = items[i % 12][1].split()
+        if i % 2 and items[i % 16][1]:
+            leak = items[i % 16][1].split()
             for _ in range(r.randint(0, 3)):
                 leak[r.randrange(len(leak))] = word()
             t[len(t) // 2 : len(t) // 2] = leak
@@ -267,9 +282,10 @@ def test_decontamination(spark, docs, none):
     rows += [(60, None), (61, "")]
     a, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = brute_contaminated(rows, items)
-    for most in (1_000_000, 1):
-        assert {(x.doc_id, x.item_id) for x in decontam.contaminated(a, b, max_broadcast_seeds=most).collect()} == want
-    left = decontam.drop_contaminated(a, b)
+    for most in (64_000_000, 1):
+        assert {(x.doc_id, x.item_id) for x in decontam.contaminated(a, b, max_broadcast_bytes=most).collect()} == want
+    left = decontam.drop_contaminated(a.withColumn("__k", F.lit(1)).withColumn("a.b", F.lit(2)), b)
+    assert left.columns == ["doc_id", "text", "__k", "a.b"]
     assert {x.doc_id for x in left.collect()} == {i for i, _ in rows} - {i for i, _ in want}
     assert decontam.drop_contaminated(docs, b).columns == docs.columns
     assert decontam.contaminated(none, b).count() == 0 and decontam.contaminated(a, b.limit(0)).count() == 0
