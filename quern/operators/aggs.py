@@ -109,8 +109,8 @@ def _check(a: Agg, mapping: Mapping, now_ms: int, inside: str | None) -> None:
         "stats": {"field", "where"},
         "min": {"field", "where"},
         "max": {"field", "where"},
-        "cardinality": {"field", "where", "precision", "threshold"},
-        "percentiles": {"field", "where", "percents", "keyed", "tdigest"},
+        "cardinality": {"field", "where", "precision", "threshold", "mode"},
+        "percentiles": {"field", "where", "percents", "keyed", "tdigest", "mode"},
         "percentile_ranks": {"field", "where", "values", "keyed", "tdigest"},
         "top_metrics": {"metrics", "sort", "size"},
         "filters": {"filters", "other_bucket_key"},
@@ -189,6 +189,8 @@ def _check(a: Agg, mapping: Mapping, now_ms: int, inside: str | None) -> None:
             raise Refused((f"{a.loc}.tdigest.compression", "10 to 1000"))
         if not 4 <= b.get("precision", 14) <= 18 or not 1 <= b.get("threshold", 1) <= 65_536 or {"precision", "threshold"} <= set(b):
             raise Refused((a.loc, "precision 4 to 18, or threshold 1 to 65536"))
+        if b.get("mode", "exact") not in ("exact", "sketch"):
+            raise Refused((f"{a.loc}.mode", "exact or sketch"))
     if "where" in b and a.type not in WRAPPERS:
         path, _ = mapping.find(b["field"])
         node = q.parse(b["where"], f"{a.loc}.where")
@@ -338,13 +340,16 @@ def metric_columns(a: Agg, v: Column) -> dict[str, Column]:
     if a.type in ("min", "max"):
         return {"value": (F.min if a.type == "min" else F.max)(v)}
     if a.type == "cardinality":
-        if b.get("mode") == "sketch":
-            return {"value": F.hll_sketch_estimate(F.hll_sketch_agg(v, b.get("precision", 14)))}
+        if b.get("mode") == "sketch":  # bounded memory however many values there are
+            return {"value": F.hll_sketch_estimate(F.hll_sketch_agg(v.cast("string"), b.get("precision", 14)))}
         n = F.count_distinct(v)
         return {"value": F.least(n, F.lit(b["threshold"])) if "threshold" in b else n}
     if a.type == "percentiles":
         ps = sorted(float(p) for p in b["percents"])
-        return {"values": F.percentile(v, F.array(*[F.lit(p / 100) for p in ps]))}
+        at = F.array(*[F.lit(p / 100) for p in ps])
+        if b.get("mode") == "sketch":  # the exact one holds all distinct values of a group in a task
+            return {"values": F.percentile_approx(v, at, 100 * b.get("tdigest", {}).get("compression", 100))}
+        return {"values": F.percentile(v, at)}
     if a.type == "percentile_ranks":
         n = F.count(v)
         return {f"r{i}": F.when(n > 0, (F.count_if(v < x) + F.count_if(v == x) * 0.5) / n * 100) for i, x in enumerate(sorted(float(x) for x in b["values"]))}
@@ -553,11 +558,17 @@ def run(df: DataFrame, every: DataFrame, aggs: list[Agg], mapping: Mapping, room
     out: dict = {}
     plain = [a for a in aggs if a.type in METRICS and not mapping.find(a.body.get("field", ""))[0] and not (a.type == "top_metrics" and a.body["size"] > 1)]
     filters = [a for a in aggs if a.type == "filter"]
-    if plain or filters:  # one pass for all metrics and filter counts
+    # a distinct count groups by its values first, where sketches and percentiles would hold a buffer for each value
+    heavy = any(a.type == "percentiles" or a.body.get("mode") == "sketch" for a in plain)
+    alone = [a for a in plain if heavy and a.type == "cardinality" and a.body.get("mode") != "sketch"]
+    plain = [a for a in plain if a not in alone]
+    if plain or filters or alone:  # one pass for all metrics and filter counts
         cols = aggregate_columns(plain, mapping) + [F.count_if(predicate(a.body["query"], mapping, True)).alias(f"{a.name}/n") for a in filters]
         row = df.agg(*cols).first()
         for a in plain:
             out[a.name] = metric_json(a, row, f"{a.name}/")
+        for a in alone:
+            out[a.name] = metric_json(a, df.agg(*aggregate_columns([a], mapping)).first(), f"{a.name}/")
         for a in filters:
             _spend(room, 1, a)
             out[a.name] = {"doc_count": row[f"{a.name}/n"], **run(matching(df, a.body["query"], mapping), every, a.subs, mapping, room)}

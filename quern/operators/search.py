@@ -79,6 +79,9 @@ def parse_request(body: dict, mapping: Mapping, now_ms: int) -> Request:
         r.fields = body["fields"]
     r.aggs = body.get("aggs", body.get("aggregations", {}))
     r.seq_no = bool(body.get("seq_no", False))
+    inner = inner_specs(r.query if r.post_filter is None else q.All((r.query, r.post_filter)), mapping)
+    if r.size * sum(s["size"] for s in inner.values()) > MAX_WINDOW:
+        raise Refused(("size", f"size times the sizes of inner_hits is {MAX_WINDOW} at most"))
     return r
 
 

@@ -170,12 +170,8 @@ def _count(spark, d):
     return se.matching(events(spark, d), q.parse(_leaf("value", "gt", 50)), EVENTS).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _track(spark, d):
-    return events(spark, d).limit(1001).agg(F.least(F.count(F.lit(1)), F.lit(1000)).alias("n"), (F.count(F.lit(1)) > 1000).alias("more"))
-
-
-QUERIES |= {"count_exact": _count, "track_total_n": _track}
-SQL |= {"count_exact": "SELECT count(*)::BIGINT AS n FROM events WHERE value > 50", "track_total_n": "SELECT least(count(*), 1000)::BIGINT AS n, count(*) > 1000 AS more FROM events"}
+QUERIES["count_exact"] = _count
+SQL["count_exact"] = "SELECT count(*)::BIGINT AS n FROM events WHERE value > 50"
 
 
 def _spec(mapping: Mapping, spec: dict):
@@ -230,31 +226,6 @@ _agg("agg_top_metrics", "lineitem", {"terms": {"field": "returnflag"}, "aggs": {
 _agg("agg_nested_terms", "orders", {"terms": {"field": "_v.returnflag", "where": _leaf("_v.quantity", "gt", 30)}, "aggs": {"p": {"stats": {"field": "_v.price"}}, "t": {"min": {"field": "total"}}}}, ag.terms_top, ["key", "doc_count", "`p/count` AS objects", "`t/value` AS lo"], "SELECT lower(l_returnflag) AS key, count(DISTINCT o_orderkey)::BIGINT AS doc_count, count(*)::BIGINT AS objects, min(o_totalprice) AS lo FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 30 GROUP BY 1")
 
 
-def _filters(spark, d):
-    df, m = parts(spark, d), PARTS
-    a = _spec(m, {"filters": {"filters": {"big": _leaf("size", "gt", 40), "b1": _leaf("brand", "starts_with", "brand#1")}, "other_bucket_key": "other"}})
-    from quern.operators.compile import predicate
-
-    tests = {k: predicate(n, m, True) for k, n in a.body["filters"].items()}
-    tests["other"] = ~(tests["big"] | tests["b1"])
-    keys = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in tests.items()]))
-    return df.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("doc_count"))
-
-
-def _facets(spark, d):
-    """A facet panel: hits under post_filter, each facet under the other's pick, and global, from one scan."""
-    df, m = parts(spark, d), PARTS
-    from quern.operators.compile import predicate
-
-    brand, size = (predicate(q.parse(x), m, True) for x in (_leaf("brand", "in", ["Brand#11", "Brand#12"]), _leaf("size", "lte", 20)))
-    return df.agg(F.count_if(brand & size).alias("hits"), F.count_if(size).alias("brand_facet"), F.count_if(brand).alias("size_facet"), F.count(F.lit(1)).alias("everything"))
-
-
-QUERIES |= {"agg_filters": _filters, "agg_post_filter_global": _facets}
-SQL["agg_filters"] = "SELECT 'big' AS key, count(*)::BIGINT AS doc_count FROM part WHERE p_size > 40 HAVING count(*) > 0 UNION ALL SELECT 'b1', count(*)::BIGINT FROM part WHERE starts_with(p_brand, 'Brand#1') HAVING count(*) > 0 UNION ALL SELECT 'other', count(*)::BIGINT FROM part WHERE NOT (p_size > 40 OR starts_with(p_brand, 'Brand#1')) HAVING count(*) > 0"
-SQL["agg_post_filter_global"] = "SELECT count(*) FILTER (WHERE p_brand IN ('Brand#11', 'Brand#12') AND p_size <= 20)::BIGINT AS hits, count(*) FILTER (WHERE p_size <= 20)::BIGINT AS brand_facet, count(*) FILTER (WHERE p_brand IN ('Brand#11', 'Brand#12'))::BIGINT AS size_facet, count(*)::BIGINT AS everything FROM part"
-
-
 @lru_cache
 def saved_queries() -> tuple:
     """A table of saved searches over events: values, lists, ranges, a not, and one spelled twice."""
@@ -298,13 +269,7 @@ def _noop(spark, d):
     return cl.unchanged(batch.groupBy("id").agg(F.max("seq").alias("seq"), F.max_by("body", "seq").alias("body")).withColumn("op", F.lit("upsert")), cl.net(c.where(~half).withColumn("op", F.lit("upsert")))).select(F.col("id").cast("long").alias("user_id"), "noop")
 
 
-def _fields(spark, d):
-    lists = orders(spark, d).select(F.explode("flags__e").alias("value"))
-    return lists.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(10)
-
-
-QUERIES |= {"changelog_latest": _latest, "version_lww": _lww, "noop_dedupe": _noop, "fields_catalogue": _fields}
+QUERIES |= {"changelog_latest": _latest, "version_lww": _lww, "noop_dedupe": _noop}
 SQL["changelog_latest"] = "SELECT user_id::BIGINT AS user_id, seq, body FROM (SELECT user_id, max(event_id) AS seq, arg_max(event_type, event_id) AS body, arg_max(value, event_id) AS v FROM events GROUP BY 1) WHERE v >= 5"
 SQL["version_lww"] = "SELECT user_id::BIGINT AS user_id, count(*) FILTER (WHERE top IS NULL OR v > top)::BIGINT AS applied, count(*) FILTER (WHERE NOT (top IS NULL OR v > top))::BIGINT AS noops FROM (SELECT user_id, floor(value) AS v, max(floor(value)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM events) GROUP BY 1"
 SQL["noop_dedupe"] = "SELECT a.user_id::BIGINT AS user_id, coalesce(a.body = b.body, false) AS noop FROM (SELECT user_id, arg_max(event_type, event_id) AS body FROM events WHERE event_id % 2 = 0 GROUP BY 1) a LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS body FROM events WHERE event_id % 2 <> 0 GROUP BY 1) b ON a.user_id = b.user_id"
-SQL["fields_catalogue"] = "SELECT lower(l_returnflag) AS value, count(DISTINCT o_orderkey)::BIGINT AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"

@@ -19,6 +19,11 @@ def check_id(id, loc: str) -> str:
     return id
 
 
+def _whole(v):
+    """A whole number of an action line as a plain int, which tables of changes take."""
+    return int(v) if isinstance(v, int) and not isinstance(v, bool) else v
+
+
 def parse_bulk(raw: str) -> list[dict]:
     """Actions of an NDJSON body: op, id, body (JSON text), if_seq, version. A bad line is an error of its item."""
     lines = [x for x in raw.split("\n") if x.strip()]
@@ -29,7 +34,7 @@ def parse_bulk(raw: str) -> list[dict]:
             op = OPS[action]
         except (ValueError, KeyError, AttributeError):
             raise Refused((f"line {i + 1}", "an action line is {op: {_id, ...}}")) from None
-        item = {"op": op, "id": meta.get("_id", meta.get("id")), "if_seq": meta.get("if_seq"), "version": meta.get("version"), "body": None, "error": None}
+        item = {"op": op, "id": meta.get("_id", meta.get("id")), "if_seq": _whole(meta.get("if_seq")), "version": _whole(meta.get("version")), "body": None, "error": None}
         i += 1
         if not op.endswith("delete"):
             if i >= len(lines):

@@ -126,10 +126,10 @@ def _udf(fn, kind):
     return run
 
 
-def _member(f: mp.Field):
-    """An object of a nested field from a struct of typed values."""
+def _member(f: mp.Field, texts: dict[str, Column]):
+    """An object of a nested field from a struct of typed values; texts: of a sub-field the normal forms of all objects."""
 
-    def run(o: Column) -> Column:
+    def run(o: Column, i: Column) -> Column:
         parts = [F.to_json(o).alias("__json")]
         for sub, g in sorted(f.fields.items()):
             parts.append(o[sub].isNotNull().alias(f"{sub}__p"))
@@ -137,8 +137,8 @@ def _member(f: mp.Field):
                 parts.append((o[sub].cast("double") + F.lit(0.0)).alias(f"{sub}__n"))
             elif g.type == mp.BOOL:
                 parts.append(o[sub].alias(f"{sub}__b"))
-            elif g.type == mp.KEYWORD:  # a UDF can't run inside a lambda: these texts are ASCII by contract
-                parts.append(F.lower(F.trim(o[sub])).alias(f"{sub}__t"))
+            elif g.type == mp.KEYWORD:
+                parts.append(F.get(texts[sub], i).alias(f"{sub}__t"))
             else:
                 raise mp.Refused((f"fields.{sub}", f"{g.type} can't be read from a column"))
         return F.when(o.isNotNull(), F.struct(*parts))
@@ -148,7 +148,8 @@ def _member(f: mp.Field):
 
 def from_columns(df: DataFrame, mapping: mp.Mapping, columns: dict[str, Column], id: Column, body: Column | None = None) -> DataFrame:
     """Analysed columns straight from typed ones: numbers, dates and bools stay in the JVM, texts are normalised in
-    Arrow batches. A null is a missing field. Nested fields take an array of structs of typed values."""
+    Arrow batches. A null is a missing field. Nested fields take an array of structs of typed values. Lists are read whole;
+    of JSON documents (analysed) the first MAX_MEMBERS objects and MAX_POINTS points count."""
     norm, wordy = _udf(tx.normalize, "string"), _udf(tx.words, "string")
     lists = F.pandas_udf(lambda s: s.map(lambda v: None if v is None else sorted({tx.normalize(x) for x in v if x} - {""})), "array<string>")
 
@@ -161,6 +162,14 @@ def from_columns(df: DataFrame, mapping: mp.Mapping, columns: dict[str, Column],
     def date(c: Column, kind: str) -> Column:
         return F.floor(F.unix_micros(c.cast("timestamp")) / 1000).cast("double") if kind.startswith(("timestamp", "date")) else number(c, kind)
 
+    # a UDF can't run inside a lambda: texts of objects are normalised as arrays first
+    many = F.pandas_udf(lambda s: s.map(lambda v: None if v is None else [None if x is None else tx.normalize(x) for x in v]), "array<string>")
+    texts: dict[str, dict[str, Column]] = {}
+    for name, f in mapping.fields.items():
+        for sub in [k for k, g in f.fields.items() if g.type == mp.KEYWORD] if f.type == mp.NESTED else ():
+            at = f"{name}.{sub}\x00"  # no name that a table has
+            df = df.withColumn(at, many(columns[name].getField(sub).cast("array<string>")))
+            texts.setdefault(name, {})[sub] = F.col(f"`{at}`")
     kinds = dict(df.select(*[c.alias(n) for n, c in columns.items()]).dtypes)
     out = [id.cast("string").alias("id"), norm(id.cast("string")).alias("_id__t"), (body if body is not None else F.lit("{}")).alias("body"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("long").alias("version")]
     for name, f in sorted(mapping.fields.items()):
@@ -179,5 +188,5 @@ def from_columns(df: DataFrame, mapping: mp.Mapping, columns: dict[str, Column],
         elif f.type == mp.POINT:
             out.append(F.array_sort(F.array_distinct(F.transform(c, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))))).alias(f"{name}__xy"))
         else:
-            out.append(F.transform(c, _member(f)).alias(f"{name}__o"))
+            out.append(F.transform(c, _member(f, texts.get(name, {}))).alias(f"{name}__o"))
     return df.select(*out)
