@@ -1,17 +1,20 @@
 """Which saved queries match each document: candidates by anchors, then the exact matcher.
 
 A saved query that every matching document must share an atom with (a value, an entry, a word, three letters of a text,
-a field's presence) is a candidate only where one of its anchors is among the document's atoms: an equi-join of atoms
-with anchors. Queries without an anchor (not, ne, missing) are candidates everywhere. Queries of one canonical form are
-one class. Candidates are verified in Arrow batches; documents are shuffled at most once."""
+a key of a similarity, a number inside an interval, a field's presence) is a candidate only where one of its anchors is
+among the document's atoms. Queries without an anchor (not, ne, missing) are candidates everywhere. Queries of one
+canonical form are one class. The anchors of up to SLICE classes are broadcast as tables; documents are read once a slice,
+in Arrow batches of the columns that the queries name, probed and verified where they are, without a shuffle."""
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
@@ -21,15 +24,17 @@ from quern.operators.search import inner_specs
 from quern.plans import query as q
 from quern.plans.mapping import BOOL, DATE, KEYWORD, NUMBER, TEXT, Mapping, Refused
 
-MAX_MATCHES, MAX_OFFSETS, MAX_BROADCAST_ANCHORS = 1_000_000, 100_000, 2_000_000
-Atom = tuple[str, str, str]  # kind, field, term
+MAX_MATCHES, MAX_OFFSETS, SLICE = 1_000_000, 100_000, 200_000
+#: Bins that the intervals of a field are dealt into.
+BINS = 512
+Atom = tuple[str, str, object]  # kind, field, term
 
 
 def _rank(atoms: set[Atom] | None) -> tuple:
-    """Fewer documents first: exact values, then words, then letters, then presence; fewer atoms first."""
+    """Fewer documents first: exact values, then words, then letters, then intervals, then presence; fewer atoms first."""
     if atoms is None:
         return (9, 0)
-    cost = {"v": 0, "e": 1, "w": 2, "g": 3, "b": 6, "p": 8}
+    cost = {"v": 0, "e": 1, "w": 2, "g": 3, "s": 4, "r": 5, "rx": 5, "ry": 5, "b": 6, "p": 8}
     return (max((cost[k] for k, _, _ in atoms), default=0), len(atoms))
 
 
@@ -59,7 +64,7 @@ def anchors(node, mapping: Mapping) -> set[Atom] | None:
                 if f.type in (KEYWORD, TEXT):
                     out.add(("v", name, tx.normalize(x)))
             elif f.type in (NUMBER, DATE):
-                out.add(("v", name, repr(float(x) + 0.0)))
+                out.add(("v", name, float(x) + 0.0))
         return out
     if op in ("has", "has_any"):
         return {("e", name, x) for x in w["texts"]}
@@ -73,42 +78,117 @@ def anchors(node, mapping: Mapping) -> set[Atom] | None:
         if op == "contains_all":
             grams = [g for g in grams if g][:1] or [None]
         return present if None in grams else {("g", name, g) for g in grams}
+    if op in ("lt", "lte", "gt", "gte", "between"):
+        if not all(map(q.is_number, v if op == "between" else (v,))):
+            return set()
+        lo, hi = v if op == "between" else (-math.inf, v) if op[0] == "l" else (v, math.inf)
+        return {("r", name, (float(lo), float(hi)))}
+    if op == "similar" and w["keys"] and w["min"] > 0:
+        # all keys but so many that a document without the others is not similar enough
+        keys = sorted(w["keys"])
+        return {("s", name, k) for k in keys[: len(keys) - math.ceil(w["min"] * len(keys) - 1e-6) + 1]}
+    if op == "box":
+        for axis in ("x", "y"):
+            if b := w["box"].get(axis):
+                lo, hi = (max((float(x) for k, x in b.items() if k[0] == "g"), default=-math.inf), min((float(x) for k, x in b.items() if k[0] == "l"), default=math.inf))
+                return {("r" + axis, name, (lo, hi))}
     return present
 
 
-def document_atoms(mapping: Mapping, wanted: set[tuple[str, str]]) -> Column:
-    """All atoms of the kinds and fields that some anchor has, of one document."""
-    parts: list[Column] = []
+class Intervals:
+    """Classes by intervals of a field: each bin has those whose interval reaches into it."""
 
-    def atom(kind: str, name: str):
-        return lambda term: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("field"), term.alias("term"))
+    def __init__(self, found: list[tuple[float, float, int]]):
+        ends = np.unique([x for lo, hi, _ in found for x in (lo, hi) if math.isfinite(x)])
+        self.edges = ends if len(ends) <= BINS else np.unique(np.quantile(ends, np.linspace(0, 1, BINS), method="nearest"))
+        self.bins: list[list[int]] = [[] for _ in range(len(self.edges) + 1)]
+        for lo, hi, c in found:
+            for i in range(int(np.searchsorted(self.edges, lo, "right")), int(np.searchsorted(self.edges, hi, "right")) + 1):
+                self.bins[i].append(c)
 
-    def grams(t: Column) -> Column:
-        n = F.greatest(F.char_length(t) - 2, F.lit(0))
-        return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(t, i, F.lit(3)))))
+    def at(self, values) -> list[list[int]]:
+        return [self.bins[i] for i in np.searchsorted(self.edges, np.asarray(values, np.float64), "right")]
 
-    for kind, name in sorted(wanted):
+
+def anchor_tables(rows: list[tuple[str, str, object, int]]) -> dict[tuple[str, str], object]:
+    """(kind, field) -> classes by term, or by interval, of anchors (kind, field, term, class)."""
+    terms: dict = {}
+    spans: dict = {}
+    for kind, name, term, c in rows:
+        if kind[0] == "r":
+            spans.setdefault((kind, name), []).append((*term, c))
+        else:
+            terms.setdefault((kind, name), {}).setdefault(term, []).append(c)
+    return terms | {k: Intervals(v) for k, v in spans.items()}
+
+
+def _part(kind: str, f) -> str:
+    """The analysed part of a field that holds the atoms of a kind."""
+    if kind in ("rx", "ry"):
+        return "xy"
+    return {"p": "p", "b": "b", "e": "e", "w": "w", "r": "n"}.get(kind) or ("t" if f.type in (KEYWORD, TEXT) else "n")
+
+
+def _terms(kind: str, v) -> Iterable:
+    """The atoms of one value, which is not missing."""
+    if kind == "p":
+        return ("",) if v else ()
+    if kind == "b":
+        return (str(bool(v)).lower(),)
+    if kind == "e":
+        return v
+    if kind == "w":
+        return v.split(" ")
+    if kind == "g":
+        return {v[i : i + 3] for i in range(len(v) - 2)}
+    if kind == "s":
+        return tx.trigrams(v)
+    return [p[kind[1]] for p in v] if kind in ("rx", "ry") else (v,)
+
+
+def candidates(tables: dict, cols: dict[str, list], n: int, mapping: Mapping) -> list[set[int]]:
+    """Of each of n documents, given as columns, the classes that one of its atoms is an anchor of."""
+    out: list[set[int]] = [set() for _ in range(n)]
+    for (kind, name), table in tables.items():
         path, f = (None, q.ID) if name == "_id" else mapping.find(name)
+        part = _part(kind, f)
         if path:
-            sub = name[len(path) + 1 :]
-            objects = F.filter(column(f"{path}__o"), lambda o: o.isNotNull())
-            get = lambda k, sub=sub, objects=objects: F.transform(objects, lambda o: o[f"{sub}__{k}"])
+            key = f"{name[len(path) + 1 :]}__{part}"
+            flat = [(i, o[key]) for i, objects in enumerate(cols[f"{path}__o"]) if objects is not None for o in objects if o is not None]
         else:
-            get = lambda k, name=name: F.array(column(f"{name}__{k}"))
-        if kind == "p":
-            terms = F.transform(F.filter(get("p"), lambda v: v), lambda v: F.lit(""))
-        elif kind == "b":
-            terms = F.transform(get("b"), lambda v: v.cast("string"))
-        elif kind == "v":
-            terms = get("t") if f.type in (KEYWORD, TEXT) else F.transform(get("n"), lambda v: v.cast("string"))
-        elif kind == "e":
-            terms = F.flatten(F.filter(get("e"), lambda v: v.isNotNull()))
-        elif kind == "w":
-            terms = F.flatten(F.filter(F.transform(get("w"), lambda v: F.split(v, " ")), lambda v: v.isNotNull()))
+            flat = list(enumerate(cols[f"{name}__{part}"]))
+        flat = [(i, t) for i, v in flat if v is not None and v is not pd.NA and not (isinstance(v, float) and v != v) for t in _terms(kind, v)]
+        if isinstance(table, Intervals):
+            for (i, _), got in zip(flat, table.at([t for _, t in flat]) if flat else ()):
+                out[i].update(got)
         else:
-            terms = F.flatten(F.filter(F.transform(get("t"), grams), lambda v: v.isNotNull()))
-        parts.append(F.transform(F.array_distinct(F.filter(terms, lambda t: t.isNotNull())), atom(kind, name)))
-    return F.concat(*[F.coalesce(p, F.array().cast("array<struct<kind:string,field:string,term:string>>")) for p in parts])
+            for i, t in flat:
+                got = table.get(t)
+                if got:
+                    out[i].update(got)
+    return out
+
+
+def named_columns(tree, tables: Iterable, columns: list[str]) -> set[str]:
+    """The analysed columns that a tree's matcher and the anchors' probes read."""
+    found: set[str] = set()
+
+    def of(name: str) -> None:
+        found.update(c for c in columns if c.startswith(f"{name}__"))
+
+    def walk(n) -> None:
+        if isinstance(n, (q.All, q.Any)):
+            for c in n.children:
+                walk(c)
+        elif isinstance(n, q.Not):
+            walk(n.child)
+        else:
+            of(n.path if isinstance(n, q.Nested) else n.field)
+
+    walk(tree)
+    for _, name in tables:
+        of(name.split(".")[0] if f"{name.split('.')[0]}__o" in columns else name)
+    return found
 
 
 def inner_offsets(specs: dict, doc: dict) -> dict:
@@ -127,7 +207,6 @@ def percolate(docs: DataFrame, queries: Iterable[tuple[str, object]], mapping: M
     for every document of docs.
 
     queries: (id, tree), the list of saved queries, which the driver holds. brute verifies all of them everywhere."""
-    spark = docs.sparkSession
     ids: dict[str, list[str]] = {}
     trees: dict[str, object] = {}
     specs: dict[str, dict] = {}
@@ -138,51 +217,52 @@ def percolate(docs: DataFrame, queries: Iterable[tuple[str, object]], mapping: M
         ids.setdefault(key, []).append(name)
         trees.setdefault(key, q.resolve(tree, mapping, now_ms))
     classes = sorted(ids)
-    always, rows = [], []
+    frames = []
+    for lo in range(0, max(len(classes), 1), SLICE):
+        frames.append(_slice(docs, classes[lo : lo + SLICE], trees, ids, specs, mapping, brute))
+    if len(frames) == 1:
+        return frames[0]
+    found = frames[0]
+    for f in frames[1:]:
+        found = found.union(f)
+    got = found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("queries", "inner")))).alias("x"))
+    return got.select("id", F.col("x.queries").alias("queries"), F.col("x.inner").alias("inner"))
+
+
+def _slice(docs: DataFrame, classes: list[str], trees: dict, ids: dict, specs: dict, mapping: Mapping, brute: bool) -> DataFrame:
+    """percolate() for some of the classes."""
+    always, rows, reads = [], [], set()
     for i, key in enumerate(classes):
         atoms = None if brute else anchors(trees[key], mapping)
         if atoms is None:
             always.append(i)
         else:
-            # a number's term is spelled by Spark, which writes doubles as Java does
-            rows += [(k, name, term, i) for k, name, term in sorted(atoms)]
-    found = docs
-    wanted = {(k, name) for k, name, _, _ in rows}
-    if rows:
-        table = spark.createDataFrame(pd.DataFrame(rows, columns=["kind", "field", "term", "class"]), "kind string, field string, term string, class int")
-        numeric = {name for k, name, _, _ in rows if k == "v" and name != "_id" and mapping.find(name)[1].type in (NUMBER, DATE)}
-        if numeric:
-            table = table.withColumn("term", F.when((F.col("kind") == "v") & F.col("field").isin(sorted(numeric)), F.col("term").cast("double").cast("string")).otherwise(F.col("term")))
-        if len(rows) <= MAX_BROADCAST_ANCHORS:
-            table = F.broadcast(table)
-        atoms = docs.select("id", F.explode(document_atoms(mapping, wanted)).alias("a")).select("id", "a.*")
-        hits = atoms.join(table, ["kind", "field", "term"]).groupBy("id").agg(F.collect_set("class").alias("classes"))
-        found = docs.join(hits, "id", "left")
-    else:
-        found = docs.withColumn("classes", F.lit(None).cast("array<int>"))
-    sent = spark.sparkContext.broadcast(([trees[k] for k in classes], [sorted(ids[k]) for k in classes], always, specs))
-    names = [c for c in docs.columns if c not in ("body", "seq", "version")]
-    found = found.select(*[column(c) for c in names], "classes")
+            rows += [(k, name, term, i) for k, name, term in sorted(atoms, key=repr)]
+    tables = anchor_tables(rows)
+    for key in classes:
+        reads |= named_columns(trees[key], (), docs.columns)
+    names = sorted(reads | named_columns(q.EVERYTHING, tables, docs.columns))
+    sent = docs.sparkSession.sparkContext.broadcast((tables, [trees[k] for k in classes], [sorted(ids[k]) for k in classes], always, {m: specs[m] for k in classes for m in ids[k] if m in specs}))
 
     def verify(frames):
-        trees, ids, always, specs = sent.value
+        tables, trees, ids, always, specs = sent.value
         compiled: dict = {}
         for pdf in frames:
-            out = []
-            for row in pdf.to_dict("records"):
-                got = row["classes"]
-                doc = {k: v if isinstance(v, (str, list, dict, bool)) or hasattr(v, "__len__") else None if v is None or v != v else v for k, v in row.items()}
+            cols, n, out = {c: pdf[c].tolist() for c in names}, len(pdf), []
+            for i, (name, got) in enumerate(zip(pdf["id"].tolist(), candidates(tables, cols, n, mapping))):
                 match = []
-                for c in [*always, *(got if got is not None else ())]:
-                    if c not in compiled:
-                        compiled[c] = compile_matcher(trees[c])
-                    if compiled[c](doc):
-                        match += ids[c]
-                match.sort()
-                out.append((row["id"], match, [json.dumps(inner_offsets(specs[m], doc)) if m in specs else "" for m in match]))
+                if got or always:
+                    doc = {c: None if (v := x[i]) is pd.NA or isinstance(v, float) and v != v else v for c, x in cols.items()}
+                    for c in (*always, *got):
+                        if c not in compiled:
+                            compiled[c] = compile_matcher(trees[c])
+                        if compiled[c](doc):
+                            match += ids[c]
+                    match.sort()
+                out.append((name, match, [json.dumps(inner_offsets(specs[m], doc)) if m in specs else "" for m in match]))
             yield pd.DataFrame(out, columns=["id", "queries", "inner"])
 
-    return found.mapInPandas(verify, "id string, queries array<string>, inner array<string>")
+    return docs.select("id", *[column(c) for c in names if c != "id"]).mapInPandas(verify, "id string, queries array<string>, inner array<string>")
 
 
 def guard(matches: DataFrame) -> list:

@@ -246,6 +246,31 @@ SQL["percolate"] = " UNION ALL ".join(
 )
 
 
+@lru_cache
+def thousand_queries() -> tuple:
+    """Saved searches by user, by a narrow interval of values, and by type with a bound on the value."""
+    kinds = ("click", "view", "purchase")
+    out = []
+    for n in range(1000):
+        if n % 3 == 0:
+            t = _leaf("user", "eq", n)
+        elif n % 3 == 1:
+            t = _leaf("value", "between", [n % 100, n % 100 + 0.25])
+        else:
+            t = {"all": [_leaf("type", "eq", kinds[n // 3 % 3]), _leaf("value", "gte", 99 + n % 10 / 10)]}
+        out.append((f"q{n}", q.parse(t)))
+    return tuple(out)
+
+
+def _percolate_1000(spark, d):
+    got = pc.percolate(events(spark, d), thousand_queries(), EVENTS, NOW)
+    return got.select(F.col("id").cast("long").alias("event_id"), F.explode("queries").alias("query"))
+
+
+QUERIES["percolate_1000"] = _percolate_1000
+SQL["percolate_1000"] = "SELECT event_id::BIGINT AS event_id, 'q' || n::VARCHAR AS query FROM events, (SELECT unnest(range(0, 1000)) AS n) WHERE CASE n % 3 WHEN 0 THEN user_id = n WHEN 1 THEN value >= n % 100 AND value <= n % 100 + 0.25 ELSE event_type = CASE n // 3 % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'purchase' END AND value >= 99 + (n % 10) / 10.0::DOUBLE END"
+
+
 def _changes(spark, d):
     """Events as changes: a user is a key, its event ids are seqs."""
     return _t(spark, d, "events").select(

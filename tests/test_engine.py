@@ -107,12 +107,28 @@ def test_columns_match_the_matcher(world):
         assert {x.id for x in frame.where(predicate(t, m)).select("id").collect()} == {i for i, d in docs.items() if compile_matcher(t)(d)}, (SEED, t)
 
 
-def test_percolation_equals_brute_force(world):
+def test_percolation_equals_brute_force(world, monkeypatch):
     m, frame, docs, r = world
     queries = [(f"q{i:03}", q.parse(tree(r))) for i in range(150)]
     got = {x.id: list(x.queries) for x in pc.percolate(frame, queries, m, 0).collect()}
     want = {i: [k for k, t in queries if compile_matcher(q.resolve(t, m, 0))(d)] for i, d in docs.items()}
     assert got == want, SEED
+    monkeypatch.setattr(pc, "SLICE", 40)
+    monkeypatch.setattr(pc, "BINS", 3)
+    assert {x.id: list(x.queries) for x in pc.percolate(frame, queries, m, 0).collect()} == want, SEED
+
+
+def test_anchors_of_intervals_and_similar_texts():
+    m = Mapping.of(MAPPING)
+    of = lambda t: pc.anchors(q.resolve(q.parse(t), m, 0), m)
+    assert of({"field": "price", "op": "between", "value": [1, 5]}) == {("r", "price", (1.0, 5.0))}
+    assert of({"all": [{"field": "price", "op": "lt", "value": 5}, {"field": "brand", "op": "eq", "value": "Oak"}]}) == {("v", "brand", "oak")}
+    assert of({"field": "spot", "op": "box", "value": {"y": {"gte": 2}}}) == {("ry", "spot", (2.0, float("inf")))}
+    assert {k for k, _, _ in of({"field": "title", "op": "similar", "value": {"text": "red oak", "min": 0.5}})} == {"s"}
+    assert of({"not": {"field": "price", "op": "lt", "value": 5}}) is None
+    t = pc.Intervals([(0.0, 1.0, 7), (1.0, float("inf"), 8), (-float("inf"), 0.0, 9)])
+    for x, want in ((-3, {9}), (0, {7, 9}), (0.5, {7}), (1, {7, 8}), (9, {8})):
+        assert want <= set(t.at([x])[0])
 
 
 def test_percolated_inner_hits(spark):
