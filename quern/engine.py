@@ -30,7 +30,10 @@ def fnv(id: str, shards: int) -> int:
 
 
 class Index:
-    """One index. frame: analysed documents that a caller brings (a read-only index over a table)."""
+    """One index. frame: analysed documents that a caller brings (a read-only index over a table).
+
+    The driver holds ids, versions and digests, which put the writes of requests in order; bodies are in the change log,
+    a table under the engine's path (or on the driver where the engine has none)."""
 
     def __init__(self, engine: Engine, name: str, mapping: Mapping, settings: dict | None = None, frame: DataFrame | None = None):
         self.engine, self.name, self.mapping, self.frame = engine, name, mapping, frame
@@ -39,6 +42,50 @@ class Index:
             raise Refused(("settings", "shards are 1 to 1024, gc_deletes 1 s to 365 d"))
         self.uid, self._held, self._saved, self._seqs, self._snapshot = f"{name}-{time.time_ns():x}", {}, {}, {}, None
         self._meta: dict[str, object] = {}
+        self._bodies: dict[str, str] = {}
+        self._generation = 0
+
+    # --- tables ---
+
+    def _log(self) -> DataFrame:
+        return self.engine.spark.read.schema(_STATE).parquet(f"{self.engine.path}/{self.name}/changes-{self._generation}")
+
+    def _record(self) -> None:
+        """What reopens the index, beside its change log."""
+        if self.engine.path and self.frame is None:
+            queries = {k: {"query": v[0], "version": v[2], "meta": self._meta[k]} for k, v in self._saved.items()}
+            what = {"uid": self.uid, "mapping": self.mapping.as_json(), "settings": self.settings, "generation": self._generation, "queries": queries}
+            self.engine.note(f"{self.name}/index", json.dumps(what, ensure_ascii=False))
+
+    def _restore(self, what: dict) -> None:
+        self.uid, self._generation = what["uid"], what["generation"]
+        for k, v in what["queries"].items():
+            self._saved[k], self._meta[k] = (v["query"], q.parse(v["query"]), v["version"]), v["meta"]
+        if self.engine.there(f"{self.name}/changes-{self._generation}"):
+            last = cl.net(self._log()).withColumn("body", F.substring(F.sha2(F.col("body").cast("binary"), 256), 1, 32))
+            for r in last.toLocalIterator():
+                self._held[r.id] = (r.op, r.seq, r.version, bytes.fromhex(r.body) if r.body is not None else None)
+            self._seqs = {r.shard: r.seq for r in self._log().groupBy("shard").agg(F.max("seq").alias("seq")).collect()}
+
+    def compact(self, now_ms: int | None = None) -> int:
+        """Rewrites the change log as the last change of each id, without deletes older than gc_deletes seconds; returns
+        the ids that are forgotten. Each shard's last change stays, which is where its seqs go on."""
+        now = int(time.time() * 1000) if now_ms is None else now_ms
+        if not self.engine.path or not self.engine.there(f"{self.name}/changes-{self._generation}"):
+            return 0
+        last = cl.net(self._log()).select(*cl._names())
+        ends = F.broadcast(self.engine.spark.createDataFrame(list(self._seqs.items()), "shard int, end long"))
+        left = cl.pruned(last, now, 1000 * self.settings["gc_deletes"]).unionByName(last.join(ends, "shard").where("seq = end").drop("end")).dropDuplicates(["id"])
+        self.engine.append(f"{self.name}/changes-{self._generation + 1}", left)
+        self._generation += 1
+        kept = {r.id for r in self._log().where("op = 'delete'").select("id").toLocalIterator()}
+        gone = [k for k, v in self._held.items() if v[0] == "delete" and k not in kept]
+        for k in gone:
+            del self._held[k]
+        self._record()
+        self.engine.drop(f"{self.name}/changes-{self._generation - 1}")
+        self._snapshot = None
+        return len(gone)
 
     # --- documents ---
 
@@ -47,8 +94,11 @@ class Index:
         if self.frame is not None:
             return self.frame
         if self._snapshot is None:
-            rows = [(k, v[3], v[1], v[2]) for k, v in self._held.items() if v[0] == "upsert"]
-            raw = self.engine.spark.createDataFrame(rows, "id string, body string, seq long, version long")
+            if self.engine.path and self._seqs:
+                raw = cl.live(cl.net(self._log())).select("id", "body", "seq", "version")
+            else:
+                rows = [(k, self._bodies[k], v[1], v[2]) for k, v in self._held.items() if v[0] == "upsert"]
+                raw = self.engine.spark.createDataFrame(rows, "id string, body string, seq long, version long")
             self._snapshot = self.engine.store(f"{self.name}/docs", sd.analysed(raw, self.mapping))
         return self._snapshot
 
@@ -59,14 +109,19 @@ class Index:
         docs = [it for it in items if not it["op"].startswith("query") and not it["op"].endswith("delete") and not it.get("error")]
         if docs and self.mapping.dynamic != "false":
             bodies = self.engine.spark.createDataFrame([(it["body"], i) for i, it in enumerate(docs)], "body string, seq long")
-            self.mapping = sd.inferred(bodies, self.mapping)
+            grown = sd.inferred(bodies, self.mapping)
+            if grown.as_json() != self.mapping.as_json():
+                self.mapping = grown
+                self._record()
         saved = {id(it): it for it in items if it["op"].startswith("query")}
         done = cl.fold([it for it in items if id(it) not in saved], self._held, self._seqs, lambda i: fnv(i, self.settings["shards"]))
         changes = [r.pop("change") for r in done if "change" in r]
         if changes:
             now = int(time.time() * 1000)
             log = self.engine.spark.createDataFrame([(*c, now) for c in changes], _STATE)
-            self.engine.append(f"{self.name}/changes", log)
+            self.engine.append(f"{self.name}/changes-{self._generation}", log)
+            if not self.engine.path:
+                self._bodies |= {c[3]: c[4] for c in changes}
             self._snapshot = None
         it = iter(done)
         out = [self._save_item(saved[id(x)]) if id(x) in saved else next(it) for x in items]
@@ -99,8 +154,11 @@ class Index:
         if self.frame is not None:
             row = self.frame.where(F.col("id") == id).select("id", "body", "seq").first()
             return {"id": row.id, "body": json.loads(row.body), "seq": row.seq} if row else None
-        op, seq, version, body = self._held.get(id, (None, 0, None, None))
-        return {"id": id, "body": json.loads(body), "seq": seq, "version": version} if op == "upsert" else None
+        op, seq, version, _ = self._held.get(id, (None, 0, None, None))
+        if op != "upsert":
+            return None
+        body = self._log().where((F.col("id") == id) & (F.col("seq") == seq)).first().body if self.engine.path else self._bodies[id]
+        return {"id": id, "body": json.loads(body), "seq": seq, "version": version}
 
     def token(self) -> str:
         """Where the index stands: its incarnation and each shard's seq."""
@@ -161,6 +219,7 @@ class Index:
         version = self._saved.get(id, (None, None, 0))[2] + 1
         self._saved[id] = (query, tree, version)
         self._meta[id] = meta
+        self._record()
         return {"id": id, "version": version}
 
     def get_query(self, id: str) -> dict | None:
@@ -168,7 +227,10 @@ class Index:
         return {"id": id, "query": s[0], "meta": self._meta[id], "version": s[2]} if s else None
 
     def delete_query(self, id: str) -> bool:
-        return self._saved.pop(id, None) is not None
+        found = self._saved.pop(id, None) is not None
+        if found:
+            self._record()
+        return found
 
     def list_queries(self, after: str = "", size: int = 100) -> dict:
         ids = sorted(i for i in self._saved if i > after)[:size]
@@ -217,10 +279,41 @@ class Engine:
         if self.path:
             df.write.mode("append").parquet(f"{self.path}/{name}")
 
+    def note(self, name: str, text: str) -> None:
+        """A small text under path, replaced whole."""
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}")
+
+    def _at(self, name: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def there(self, name: str) -> bool:
+        fs, at = self._at(name)
+        return fs.exists(at)
+
+    def drop(self, name: str) -> None:
+        fs, at = self._at(name)
+        fs.delete(at, True)
+
+    def open_index(self, name: str) -> Index:
+        """An index that an engine has left under path: its mapping, settings, saved queries and writes."""
+        if name in self.indexes:
+            return self.indexes[name]
+        if not self.path or not self.there(f"{name}/index"):
+            raise Refused(("index", f"{name} is not here"), status=404)
+        what = json.loads(self.spark.read.text(f"{self.path}/{name}/index", wholetext=True).first().value)
+        i = Index(self, name, Mapping.of(what["mapping"]), what["settings"])
+        i._restore(what)
+        self.indexes[name] = i
+        return i
+
     def create_index(self, name: str, mapping: dict | None = None, settings: dict | None = None) -> Index:
         if name in self.indexes:
             raise Refused(("index", f"{name} exists"), status=409)
+        if self.path and self.there(f"{name}/index"):
+            raise Refused(("index", f"{name} is under path: open it"), status=409)
         self.indexes[name] = Index(self, name, Mapping.of(mapping or {}), settings)
+        self.indexes[name]._record()
         return self.indexes[name]
 
     def over(self, name: str, frame: DataFrame, mapping: Mapping) -> Index:
@@ -234,8 +327,10 @@ class Engine:
         return self.indexes[name]
 
     def delete_index(self, name: str) -> None:
-        self.get_index(name)
+        i = self.get_index(name)
         del self.indexes[name]
+        if self.path and i.frame is None:
+            self.drop(name)
 
     def list_indexes(self) -> list[str]:
         return sorted(self.indexes)
@@ -243,6 +338,7 @@ class Engine:
     def patch_mapping(self, name: str, fields: dict) -> dict:
         i = self.get_index(name)
         i.mapping, i._snapshot = i.mapping.merge(fields), None
+        i._record()
         return i.mapping.as_json()
 
     def patch_settings(self, name: str, settings: dict) -> dict:
@@ -250,6 +346,7 @@ class Engine:
         if "shards" in settings and settings["shards"] != i.settings["shards"]:
             raise Refused(("settings.shards", "the number of shards is fixed"))
         i.settings |= settings
+        i._record()
         return i.settings
 
 

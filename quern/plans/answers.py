@@ -286,3 +286,21 @@ def _saved(spark, d):
 
 
 _row("saved_queries", "page long, id string, value long, version long", _saved, "SELECT (row_number() OVER (ORDER BY n) - 1) // 10 AS page, 'q' || lpad(n::VARCHAR, 2, '0') AS id, n AS value, 1::BIGINT AS version FROM (SELECT unnest(range(0, 25)) AS n) WHERE n <> 3 QUALIFY page < 2")
+
+
+def _reopened(spark, d):
+    """Writes of one engine, read by another after compaction: what is left of parts after changes and deletes."""
+    import tempfile
+
+    rows = dr._t(spark, d, "part").orderBy("p_partkey").limit(20).collect()
+    path = tempfile.mkdtemp(prefix="quern-index-")  # a path of the engine's own; on a cluster it is one that all share
+    i = Engine(spark, path).create_index("w", {"dynamic": "strict", "fields": {"size": "number"}}, {"shards": 2, "gc_deletes": 1})
+    lines = [x for r in rows for x in ('{"index": {"_id": "%d"}}' % r.p_partkey, '{"size": %d}' % r.p_size)]
+    lines += [x for r in rows[:5] for x in ('{"index": {"_id": "%d"}}' % r.p_partkey, '{"size": %d}' % (r.p_size + 100))] + ['{"delete": {"_id": "%d"}}' % r.p_partkey for r in rows[10:14]]
+    i.bulk("\n".join(lines) + "\n")
+    i.compact(now_ms=1 << 50)
+    j = Engine(spark, path).open_index("w")
+    return [(int(h["id"]), h["body"]["size"]) for h in j.search({"size": 100})["hits"]]
+
+
+_row("index_reopened", "id long, size long", _reopened, "SELECT p_partkey::BIGINT AS id, (CASE WHEN n <= 5 THEN p_size + 100 ELSE p_size END)::BIGINT AS size FROM (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_partkey) AS n FROM part) WHERE n <= 20 AND n NOT BETWEEN 11 AND 14")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +59,17 @@ def unchanged(changes: DataFrame, state: DataFrame) -> DataFrame:
     return changes.join(same, "id", "left").withColumn("noop", F.coalesce("noop", F.lit(False)))
 
 
+def digest(body: str | None) -> bytes | None:
+    """What tells bodies apart."""
+    return None if body is None else hashlib.sha256(body.encode("utf-8", "surrogatepass")).digest()[:16]
+
+
 def fold(items: list[dict], held: dict[str, tuple], seqs: dict[int, int], shard) -> list[dict]:
-    """What each item of a request does, in order: held is id -> (op, seq, version, body). if_seq and create are
+    """What each item of a request does, in order: held is id -> (op, seq, version, digest). if_seq and create are
     checked against the state as the items before have left it; an external version applies only above the largest."""
     out = []
     for it in items:
-        op, seq, version, body = held.get(it["id"], (None, 0, None, None))
+        op, seq, version, mark = held.get(it["id"], (None, 0, None, None))
         exists = op not in (None, "delete", "query_delete")
         res = {"op": it["op"], "id": it["id"], "shard": shard(it["id"]), "status": 200, "error": it.get("error")}
         if it.get("error"):
@@ -75,31 +82,37 @@ def fold(items: list[dict], held: dict[str, tuple], seqs: dict[int, int], shard)
             res |= {"result": "noop", "seq": seq, "version": version}
         elif it["op"].endswith("delete") and not exists and it.get("version") is None:
             res |= {"status": 404, "result": "not_found"}
-        elif it["op"] == "upsert" and exists and it["body"] == body and it.get("version") is None:
+        elif it["op"] == "upsert" and exists and digest(it["body"]) == mark and it.get("version") is None:
             res |= {"result": "noop", "seq": seq}
         else:
             s = res["shard"]
             seqs[s] = seqs.get(s, 0) + 1
             version = it["version"] if it.get("version") is not None else version
             kind = "upsert" if it["op"] == "create" else it["op"]
-            held[it["id"]] = (kind, seqs[s], version, it["body"])
+            held[it["id"]] = (kind, seqs[s], version, digest(it["body"]))
             res |= {"seq": seqs[s], "version": version, "result": "deleted" if kind.endswith("delete") else "updated" if exists else "created", "change": (s, seqs[s], kind, it["id"], it["body"], version)}
             res["status"] = 201 if res["result"] == "created" else 200
         out.append(res)
     return out
 
 
-def apply_stream(changes: DataFrame, state_path: str, checkpoint: str, then=None, interval: str | None = None):
+def apply_stream(changes: DataFrame, state_path: str, checkpoint: str, then=None, interval: str | None = None, gc_deletes_ms: int | None = None):
     """Applies a stream of changes to a state kept as numbered Parquet snapshots, one for each micro-batch.
 
-    A batch that is run again writes the same snapshot again from the same one before it, so a restart repeats
-    nothing. then(state, batch) is called on each, for instance to percolate."""
+    A batch that is run again writes the same snapshot again from the same one before it, so a restart repeats nothing;
+    snapshots before those two go. With gc_deletes_ms, deletes older than the batch's newest change by more are forgotten.
+    then(state, batch) is called on each, for instance to percolate."""
     spark = changes.sparkSession
 
     def each(batch: DataFrame, n: int) -> None:
         now = batch.select(*_names())
         before = spark.read.schema(CHANGES).parquet(f"{state_path}/{n - 1}") if n else spark.createDataFrame([], CHANGES)
-        merged(before, now).write.mode("overwrite").parquet(f"{state_path}/{n}")
+        state = merged(before, now)
+        if gc_deletes_ms is not None and (newest := now.agg(F.max("ts_ms")).first()[0]) is not None:
+            state = pruned(state, newest, gc_deletes_ms)
+        state.write.mode("overwrite").parquet(f"{state_path}/{n}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state_path}/{n - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
         if then:
             then(spark.read.schema(CHANGES).parquet(f"{state_path}/{n}"), n)
 

@@ -241,6 +241,31 @@ def test_writes(spark, tmp_path):
     assert all(r.s == fnv(r.id, 7) for r in ids)
 
 
+def test_reopening_and_compaction(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    i = e.create_index("a", {"dynamic": "true", "fields": {}}, {"shards": 2, "gc_deletes": 60})
+    i.bulk("\n".join(f'{{"index": {{"_id": "{k}"}}}}\n{{"n": {k}, "s": "Straße"}}' for k in range(8)) + "\n")
+    i.put_query("big", {"field": "n", "op": "gt", "value": 5}, {"who": "me"})
+    i.delete("3"), i.delete("4"), i.put("1", {"n": 100, "s": "x"})
+    token = i.token()
+    j = Engine(spark, str(tmp_path)).open_index("a")
+    assert j.mapping.as_json() == i.mapping.as_json() and j.settings == i.settings and j.reached(token) and j.uid == i.uid
+    assert j.get("1") == i.get("1") and j.get("1")["body"]["n"] == 100 and j.get("3") is None
+    assert sorted(h["id"] for h in j.search({"size": 20})["hits"]) == ["0", "1", "2", "5", "6", "7"]
+    assert j.put("2", {"n": 2, "s": "Straße"})["result"] in ("noop", "updated") and j.put("1", {"n": 100, "s": "x"})["result"] == "noop"
+    assert j.get_query("big") == i.get_query("big") and j.percolate(ids=["1", "6", "0"])["results"][0]["queries"] == ["big"]
+    assert j.compact(now_ms=0) == 0  # deletes are young
+    ends = dict(j._seqs)
+    gone = j.compact(now_ms=1 << 50)
+    assert gone <= 2 and sorted(h["id"] for h in j.search({"size": 20})["hits"]) == ["0", "1", "2", "5", "6", "7"]
+    k = Engine(spark, str(tmp_path)).open_index("a")
+    assert k._seqs == ends == j._seqs and k.put("9", {"n": 9})["seq"] == ends[fnv("9", 2)] + 1
+    with pytest.raises(Refused):
+        Engine(spark, str(tmp_path)).create_index("a")
+    with pytest.raises(Refused):
+        Engine(spark, str(tmp_path)).open_index("b")
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     rows = [(0, i, "delete" if i % 7 == 0 else "upsert", f"k{i % 5}", str(i), None, i) for i in range(1, 30)]
     log = str(tmp_path / "log")
