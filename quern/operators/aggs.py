@@ -561,17 +561,23 @@ def run(df: DataFrame, every: DataFrame, aggs: list[Agg], mapping: Mapping, room
     # a distinct count groups by its values first, where sketches and percentiles would hold a buffer for each value
     heavy = any(a.type == "percentiles" or a.body.get("mode") == "sketch" for a in plain)
     alone = [a for a in plain if heavy and a.type == "cardinality" and a.body.get("mode") != "sketch"]
-    plain = [a for a in plain if a not in alone]
-    if plain or filters or alone:  # one pass for all metrics and filter counts
+    # distinct entries of lists are counted over rows of entries: no task holds them all
+    lists = [a for a in plain if a.type == "cardinality" and a.body["field"] in mapping.fields and mapping.fields[a.body["field"]].type == LIST]
+    alone = [a for a in alone if a not in lists]
+    plain = [a for a in plain if a not in alone and a not in lists]
+    for a in lists:
+        entries = df.select(F.explode(value(a.body["field"], mapping)).alias("v"))
+        out[a.name] = metric_json(a, entries.agg(*[c.alias(f"{a.name}/{k}") for k, c in metric_columns(a, F.col("v")).items()]).first(), f"{a.name}/")
+    if plain or filters:  # one pass for all metrics and filter counts
         cols = aggregate_columns(plain, mapping) + [F.count_if(predicate(a.body["query"], mapping, True)).alias(f"{a.name}/n") for a in filters]
         row = df.agg(*cols).first()
         for a in plain:
             out[a.name] = metric_json(a, row, f"{a.name}/")
-        for a in alone:
-            out[a.name] = metric_json(a, df.agg(*aggregate_columns([a], mapping)).first(), f"{a.name}/")
         for a in filters:
             _spend(room, 1, a)
             out[a.name] = {"doc_count": row[f"{a.name}/n"], **run(matching(df, a.body["query"], mapping), every, a.subs, mapping, room)}
+    for a in alone:
+        out[a.name] = metric_json(a, df.agg(*aggregate_columns([a], mapping)).first(), f"{a.name}/")
     for a in sorted(aggs, key=lambda a: a.name):
         if a.name in out:
             continue

@@ -193,6 +193,13 @@ _row(
 )
 
 
+_row(
+    "agg_cardinality_lists", "entries long, sketched long",
+    lambda s, d: [(lambda a: (a["e"]["value"], a["s"]["value"]))(index(s, d, "orders").search({"size": 0, "aggs": {"e": {"cardinality": {"field": "flags"}}, "s": {"cardinality": {"field": "flags", "mode": "sketch"}}}})["aggs"])],
+    "SELECT count(DISTINCT l_returnflag)::BIGINT AS entries, count(DISTINCT l_returnflag)::BIGINT AS sketched FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
+)
+
+
 def _inner(spark, d):
     """Two nested conditions that share a key are one inner hit; objects show the fields asked for."""
     part = lambda leaf, size: {"nested": {"path": "_v", "query": leaf, "inner_hits": {"size": size, "fields": ["linenumber"]}}}
