@@ -640,14 +640,35 @@ def _terms_answer(df: DataFrame, a: Agg, mapping: Mapping, room: list[int]) -> d
         other = (terms_frame(df, bare, mapping).agg(F.sum("doc_count")).first()[0] or 0) - sum(r.doc_count for r in rows)
     buckets = [{"key": number(r.key), "doc_count": r.doc_count, **_subs(a, r)} for r in rows]
     for s in (s for s in a.subs if s.type == "terms"):
-        for b, r in zip(buckets, rows):  # terms of the objects that hold the bucket's value
-            node = [q.Leaf(a.body["field"], "has" if mapping.find(a.body["field"])[1].type == LIST else "eq", r.key)]
-            node += [w for w in (a.body.get("where"), s.body.get("where")) if w is not None]
-            inner = Agg(s.name, "terms", {**s.body, "where": q.All(tuple(node)) if len(node) > 1 else node[0]}, s.loc)
-            b[s.name] = _terms_answer(df, inner, mapping, room)
+        found = _terms_under(df, a, s, [r.key for r in rows], mapping) if rows else {}
+        for b, r in zip(buckets, rows):
+            b[s.name] = found.get(r.key, {"doc_count_error_upper_bound": 0, "sum_other_doc_count": 0, "buckets": []})
+            _spend(room, len(b[s.name]["buckets"]), s)
     return {"doc_count_error_upper_bound": 0, "sum_other_doc_count": other, "buckets": buckets}
 
 
+def _terms_under(df: DataFrame, a: Agg, s: Agg, keys: list, mapping: Mapping) -> dict:
+    """Of each key of a nested terms a the terms s of the objects that hold it, all in one job."""
+    path = mapping.find(a.body["field"])[0]
+    wheres = [w for w in (a.body.get("where"), s.body.get("where")) if w is not None]
+    o = df.select("id", F.explode(object_filter(q.All(tuple(wheres)) if wheres else None, mapping, path)).alias("__o"))
+    for name, field in (("__outer", a.body["field"]), ("key", s.body["field"])):
+        v = value(field, mapping, F.col("__o"), path)
+        o = o.withColumn(name, F.explode(v) if mapping.find(field)[1].type == LIST else v)
+    o = o.where(F.col("__outer").isin(keys) & F.col("key").isNotNull() & chosen(F.col("key"), s.body))
+    each = o.dropDuplicates(["id", "__outer", "key"]).groupBy("__outer", "key").agg(F.count(F.lit(1)).alias("doc_count"))
+    enough, size = F.col("doc_count") >= s.body["min_doc_count"], s.body["size"]
+    whole = Window.partitionBy("__outer")
+    each = each.withColumns({"__all": F.sum("doc_count").over(whole), "__rank": F.row_number().over(whole.orderBy(enough.desc(), *_order_columns(s)))})
+    out: dict = {}
+    for r in each.where(F.col("__rank") <= size).orderBy("__outer", "__rank").collect():
+        got = out.setdefault(r["__outer"], {"doc_count_error_upper_bound": 0, "sum_other_doc_count": r["__all"], "buckets": []})
+        if r.doc_count >= s.body["min_doc_count"]:
+            got["buckets"].append({"key": number(r.key), "doc_count": r.doc_count})
+            got["sum_other_doc_count"] -= r.doc_count
+    return out
+
+
 def _range_bucket(a: Agg, r: dict, row, blank) -> dict:
     lo, hi = r.get("from"), r.get("to")
     name = r.get("key") or f"{'*' if lo is None else java_double(float(lo))}-{'*' if hi is None else java_double(float(hi))}"

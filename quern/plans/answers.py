@@ -193,6 +193,11 @@ _row(
 )
 
 
+_row(
+    "agg_terms_under_terms", "outer string, inner long, doc_count long, other long",
+    _aggs("orders", {"terms": {"field": "_v.returnflag", "where": _leaf("_v.quantity", "gt", 10)}, "aggs": {"t": {"terms": {"field": "_v.linenumber", "size": 3}}}}, lambda a: [(b["key"], int(x["key"]), x["doc_count"], b["t"]["sum_other_doc_count"]) for b in a["buckets"] for x in b["t"]["buckets"]]),
+    "WITH c AS (SELECT lower(l_returnflag) AS outer_key, l_linenumber::BIGINT AS inner_key, count(DISTINCT o_orderkey)::BIGINT AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 10 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY outer_key ORDER BY n DESC, inner_key) AS rn, sum(n) OVER (PARTITION BY outer_key) AS total FROM c) SELECT outer_key AS \"outer\", inner_key AS \"inner\", n AS doc_count, (total - sum(n) OVER (PARTITION BY outer_key))::BIGINT AS other FROM r WHERE rn <= 3",
+)
 _row(
     "agg_cardinality_lists", "entries long, sketched long",
     lambda s, d: [(lambda a: (a["e"]["value"], a["s"]["value"]))(index(s, d, "orders").search({"size": 0, "aggs": {"e": {"cardinality": {"field": "flags"}}, "s": {"cardinality": {"field": "flags", "mode": "sketch"}}}})["aggs"])],
