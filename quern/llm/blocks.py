@@ -54,7 +54,9 @@ def by_key(
             if out:
                 yield pd.concat(out)
 
-    return df.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)
+    # a number, or else small rows that take long are gathered in a few tasks
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *key).sortWithinPartitions(*key).mapInPandas(run, schema)
 
 
 def split_hot(rows: DataFrame, key: list[str], member: str, most: int) -> DataFrame:

@@ -19,9 +19,9 @@ SHINGLE, BITS, SIMILAR = 5, 128, 0.8
 #: A strip is 7 coordinates; its filters are the 16 words of a perfect code, within weight 1 of one of which any
 #: pattern lies. Lists of about LEAF fingerprints end the recursion; RECALL is the share of pairs just at the
 #: threshold that the repeats find; MOST fingerprints of one list are compared in a task.
-STRIP, LEAF, RECALL, MOST = 7, 600, 0.97, 3_000
+STRIP, LEAF, RECALL, MOST = 7, 600, 0.985, 3_000
 #: Nearest candidates of a list that a class is first held against; shingles of a block whose sets meet in a task.
-RANKS, BLOCK_SHINGLES = 8, 2_000_000
+RANKS, BLOCK_SHINGLES = 3, 2_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -66,7 +66,7 @@ def _meets(levels: int, within: int) -> np.ndarray:
 def plan(n: int, similar: float = SIMILAR) -> tuple[int, int]:
     """Levels of recursion for n fingerprints and repeats to reach RECALL, over all distances that pairs just at the
     threshold can have: all repeats are of one fingerprint, so pairs further apart than the mean meet less often."""
-    levels = min(max(1, round(math.log(max(n / LEAF, 1), 16))), BITS // STRIP)
+    levels = min(round(math.log(max(n / LEAF, 1), 16)), BITS // STRIP)  # none: one list of all, as at the recursion's end
     p, within = _bits_apart(similar), candidates_within(similar)
     meets = _meets(levels, within)
     share = np.array([math.comb(BITS, d) * p**d * (1 - p) ** (BITS - d) for d in range(within + 1)])
