@@ -21,7 +21,7 @@ WORD_SHARE, MIN_COUNT, DEPTH = 5e-7, 2, 3
 DISCOUNT, DIVERGENCE = 0.75, 1.0
 #: Characters of texts that are packed together; bytes of text whose words a bucket takes; occurrences from which a word's
 #: contexts are dealt out to several buckets.
-CHUNK_CHARS, BATCH_BYTES, HOT = 4_000_000, 16_000_000, 1_000_000
+CHUNK_CHARS, BATCH_BYTES, HOT = 4_000_000, 6_000_000, 400_000
 END = np.uint64(0x5BD1E995A5A5A5A5)
 PAD = 0.1
 
@@ -273,20 +273,25 @@ def _score(docs: DataFrame, pairs: DataFrame | None, sent, buckets: int) -> Data
 
     def frequent(words, parts, pairs):
         parts.sort(key=lambda x: x[0])
-        got = [unpack(blob, np.uint64, np.uint32, np.uint32) for _, blob in parts]
-        key, symbol = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), np.concatenate([g[1] for g in got])
-        doc = np.concatenate([g[2] for g in got])
+        batches, keys, symbols, docs_ = [], [], [], []
+        while parts:  # from the last on; what is unpacked goes
+            batch, blob = parts.pop()
+            d, symbol, doc = unpack(blob, np.uint64, np.uint32, np.uint32)
+            batches.append((batch, len(doc))), keys.append(np.cumsum(d, dtype=np.uint64)), symbols.append(symbol), docs_.append(doc)
+        key, symbol, doc = np.concatenate(keys), np.concatenate(symbols), np.concatenate(docs_)
+        del keys, symbols, docs_
         order = np.lexsort((symbol, key))
         new = np.append(True, (key[order][1:] != key[order][:-1]) | (symbol[order][1:] != symbol[order][:-1]))
         string = np.empty(len(order), np.int64)
         string[order] = np.cumsum(new) - 1
         heads = order[new]
-        p = _grown(words, key[heads], symbol[heads].astype(np.int64) - 1, np.bincount(string, doc & 1), pairs)
-        logs, at = np.log10(p)[string], 0
-        zero = np.zeros(max(len(g[0]) for g in got))
-        for (batch, _), g in zip(parts, got):
-            n = len(g[0])
-            yield sums(batch, g[2] >> np.uint32(1), zero[:n], zero[:n], logs[at : at + n])
+        key, symbol = key[heads], symbol[heads].astype(np.int64) - 1
+        del order, new, heads
+        logs, at = np.log10(_grown(words, key, symbol, np.bincount(string, doc & 1), pairs))[string], 0
+        del string, key, symbol
+        for batch, n in batches:
+            zero = np.zeros(n)
+            yield sums(batch, doc[at : at + n] >> np.uint32(1), zero, zero, logs[at : at + n])
             at += n
 
     def meet(frames):
