@@ -25,7 +25,7 @@ from quern.llm.common import Lookup, mix64, named, scratch, table, text_bytes
 from quern.llm.suffix_tree import pack, unpack
 
 WINDOW, K = 100, 20
-CHUNK_BYTES, BATCH_BYTES = 1_500_000, 20_000_000
+CHUNK_BYTES, BATCH_BYTES, PARTS = 1_500_000, 20_000_000, 8
 #: The dictionary of a trigger with more distinct phrases than this is dealt out by window (128-bit digests) instead.
 HOT = 4_000
 _RNG = np.random.default_rng(11)
@@ -218,6 +218,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     homed = d.withColumn("db", F.pmod("k", F.lit(buckets)).cast("int")).repartition(buckets, "db")
 
+    parts = PARTS * buckets  # a suffix array takes some 60 bytes for each of its text
+
     def contexts(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         find, begin, end, (first, last, trigger, what) = _flags(right.blob)
         out = []
@@ -234,9 +236,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cold = np.flatnonzero(~hot)
             lens = last[run[cold]] - first[run[cold]] + WINDOW
             where = starts[row[cold]] + first[run[cold]]
-            bucket = ((trigger[run[cold]] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            bucket = ((trigger[run[cold]] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 o = order[cuts[b] : cuts[b + 1]]
                 text = b"".join(data[s : s + n].tobytes() for s, n in zip(where[o], lens[o]))
@@ -249,7 +251,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 s = starts[src] + at
                 one, two = mix64(Rolling(data)(s, s + WINDOW)), mix64(Rolling(data, 1)(s, s + WINDOW))
                 ids, k = np.repeat(ids[hot], n), np.repeat(k[hot], n)
-                out += [(b, 1, blob) for b, blob in _by_bucket((one % np.uint64(buckets)).astype(np.int64), buckets, one, two, ids, k, at)]
+                out += [(b, 1, blob) for b, blob in _by_bucket((one % np.uint64(parts)).astype(np.int64), parts, one, two, ids, k, at)]
         return pd.DataFrame(out, columns=["bucket", "hot", "blob"])
 
     def settle(frames):
@@ -312,7 +314,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     by_home = homed.groupBy("db")
     met = by_home.cogroup(found.groupBy("db")).applyInPandas(contexts, "bucket int, hot int, blob binary")
-    settled = met.repartition(buckets, "bucket").mapInPandas(settle, "db int, blob binary")
+    settled = met.repartition(parts, "bucket").mapInPandas(settle, "db int, blob binary")
     settled = scratch(spark, settled, "settled")
     return homed.groupBy("db").cogroup(found.union(settled).groupBy("db")).applyInPandas(
         finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
