@@ -1,7 +1,7 @@
 """Aggregations: fifteen types, as data frames of buckets and as response objects.
 
-All metrics of a scope, and of all buckets of an aggregation, are computed in one pass. Answers are those of one shard:
-exact, with an error bound of 0."""
+All metrics of a scope, and of all buckets of an aggregation, are computed in one pass, but for exact percentiles, which
+take passes of their own. Answers are those of one shard: exact, with an error bound of 0."""
 
 from __future__ import annotations
 
@@ -25,6 +25,7 @@ BUCKETS = ("terms", "range", "histogram", "date_histogram", "composite")
 WRAPPERS = ("filter", "filters", "global")
 MAX_AGGS, MAX_BUCKETS, MAX_SIZE = 100, 65_536, 65_536
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
+WIDE, NEAR, ACCURACY = 100_000, 0.0005, 5_000  # exact percentiles: a large bucket's values, the cuts about a percent, the sketch
 _RESERVED = {"filter": {"doc_count"}, "filters": {"doc_count"}, "global": {"doc_count"}}
 _RESERVED_BUCKET = {"key", "key_as_string", "from", "to", "doc_count", "doc_count_error_upper_bound"}
 _UNITS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
@@ -347,9 +348,7 @@ def metric_columns(a: Agg, v: Column) -> dict[str, Column]:
     if a.type == "percentiles":
         ps = sorted(float(p) for p in b["percents"])
         at = F.array(*[F.lit(p / 100) for p in ps])
-        if b.get("mode") == "sketch":  # the exact one holds all distinct values of a group in a task
-            return {"values": F.percentile_approx(v, at, 100 * b.get("tdigest", {}).get("compression", 100))}
-        return {"values": F.percentile(v, at)}
+        return {"values": F.percentile_approx(v, at, 100 * b.get("tdigest", {}).get("compression", 100))}  # exact: percentiles
     if a.type == "percentile_ranks":
         n = F.count(v)
         return {f"r{i}": F.when(n > 0, (F.count_if(v < x) + F.count_if(v == x) * 0.5) / n * 100) for i, x in enumerate(sorted(float(x) for x in b["values"]))}
@@ -394,9 +393,16 @@ def _top_columns(a: Agg, mapping: Mapping) -> dict[str, Column]:
     return {"top": F.array(F.min_by(row, F.struct(s.isNull(), -s if desc else s, column("id"))))}
 
 
+def _ranked(a: Agg) -> bool:
+    """Whether its values are found by their ranks: exact percentiles, which are no aggregate column."""
+    return a.type == "percentiles" and a.body.get("mode") != "sketch"
+
+
 def aggregate_columns(subs: list[Agg], mapping: Mapping, obj: Column | None = None, path: str | None = None) -> list[Column]:
     out = []
     for a in subs:
+        if _ranked(a):
+            continue
         if a.type == "top_metrics":
             cols = _top_columns(a, mapping) if a.body["size"] == 1 else {}
         else:
@@ -407,6 +413,56 @@ def aggregate_columns(subs: list[Agg], mapping: Mapping, obj: Column | None = No
     return out
 
 
+def aggregate(df: DataFrame, by: list[str], subs: list[Agg], mapping: Mapping, obj: Column | None = None, path: str | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
+    """(by, more, metrics) by the columns by, which hold no null; without by one row."""
+    cols = [*more, *aggregate_columns(subs, mapping, obj, path)]
+    out = df.groupBy(*by).agg(*cols) if cols else df.select(*by).distinct() if by else None
+    for a in filter(_ranked, subs):
+        got = percentiles(df.select(*by, value(a.body["field"], mapping, obj, path).alias("v")), by, a.body["percents"]).withColumnRenamed("values", f"{a.name}/values")
+        out = got if out is None else out.join(got, by, "left") if by else out.crossJoin(F.broadcast(got))
+    return out
+
+
+def percentiles(df: DataFrame, by: list[str], percents: list) -> DataFrame:
+    """(by, values): the exact percentiles of v, without a task that holds the values of a large bucket.
+
+    Sketched percentiles on both sides of each one that is wanted cut a bucket's values into parts; the parts are counted,
+    and only those that hold a wanted rank are sorted. Where a sketch is off, a part is larger and the answer the same.
+    Buckets of up to WIDE values are aggregated whole. Without by there is one row, of null where no value is."""
+    ps = [p / 100 for p in sorted(float(p) for p in percents)]
+    df = df.where(F.col("v").isNotNull())
+    ends = sorted({min(max(p + d, 0.0), 1.0) for p in ps for d in (-NEAR, NEAR)})
+    wide = df.groupBy(*by).agg(F.count("v").alias("n"), F.sort_array(F.percentile_approx("v", F.array(*map(F.lit, ends)), ACCURACY)).alias("cuts")).where(F.col("n") > (WIDE if by else 0)).drop("n")
+    beside = lambda left, right, on, how="inner": left.join(F.broadcast(right), on, how) if on else left.crossJoin(F.broadcast(right))
+
+    # a value's part is the number of cuts up to it, counted over every step-th of them and then within a step
+    step = math.ceil(math.sqrt(len(ends)))
+    up_to = lambda places: sum((F.when(F.col("v") >= F.get("cuts", i), 1).otherwise(0) for i in places), F.lit(0))
+    parted = beside(df, wide, by).withColumn("steps", up_to(F.lit(i) for i in range(step - 1, len(ends), step)) * step)
+    parted = parted.select(*by, "v", (F.col("steps") + up_to(F.col("steps") + i for i in range(step - 1))).alias("part"))
+
+    # parts with the ranks in them: of each percent the one below its position and the one above
+    at = F.transform(F.array(*map(F.lit, ps)), lambda p: (F.col("n") - 1) * p)
+    ranks = F.transform(F.flatten(F.transform(at, lambda x: F.array(F.floor(x), F.ceil(x)))), lambda r, i: F.struct(i.alias("i"), r.alias("r")))
+    whole = Window.partitionBy(*by or [F.lit(0)])
+    parts = parted.groupBy(*by, "part").agg(F.count("v").alias("m"))
+    parts = parts.withColumns({"n": F.sum("m").over(whole), "before": F.sum("m").over(whole.orderBy("part")) - F.col("m")})
+    held = F.filter("ranks", lambda x: (x["r"] >= F.col("before")) & (x["r"] < F.col("before") + F.col("m")))
+    wanted = parts.withColumn("ranks", ranks).withColumn("ranks", held).where(F.size("ranks") > 0).drop("m")
+
+    near = beside(parted, wanted.select(*by, "part"), [*by, "part"], "left_semi").groupBy(*by, "part", "v").agg(F.count("v").alias("c"))
+    near = near.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "part").orderBy("v")))
+    near = beside(near, wanted, [*by, "part"]).withColumn("end", F.col("before") + F.col("upto"))
+    hits = near.select(*by, "n", "v", F.explode(F.filter("ranks", lambda x: (x["r"] >= F.col("end") - F.col("c")) & (x["r"] < F.col("end")))).alias("rank"))
+    found = hits.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("rank.i", "v"))), lambda x: x["v"]).alias("got"))
+    between = lambda x, lo, hi: F.when(lo == hi, lo).otherwise((F.ceil(x) - x) * lo + (x - F.floor(x)) * hi)
+    values = F.transform(at, lambda x, i: between(x, F.get("got", 2 * i), F.get("got", 2 * i + 1)))
+    out = found.select(*by, F.when(F.col("n").isNotNull(), values).alias("values"))
+    if not by:
+        return out
+    return out.unionByName(beside(df, wide.select(*by), by, "left_anti").groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, ps))).alias("values")))
+
+
 def top_of(df: DataFrame, a: Agg, mapping: Mapping, by: list[str]) -> DataFrame:
     """(by, top): the first size documents of each bucket, by a ranked window that Spark cuts before its shuffle."""
     name, desc = a.body["sort"]
@@ -445,7 +501,7 @@ def histogram_key(a_type: str, b: dict, v: Column, loc: str = "") -> Column:
 def _bucketed(df: DataFrame, key: Column, subs: list[Agg], mapping: Mapping, obj=None, path=None) -> DataFrame:
     """(key, doc_count, sub-metrics) by key."""
     df = df.withColumn("key", key).where(F.col("key").isNotNull())
-    out = df.groupBy("key").agg(F.count(F.lit(1)).alias("doc_count"), *aggregate_columns(subs, mapping, obj, path))
+    out = aggregate(df, ["key"], subs, mapping, obj, path, (F.count(F.lit(1)).alias("doc_count"),))
     for a in subs:
         if a.type == "top_metrics" and a.body["size"] > 1:
             out = out.join(top_of(df, a, mapping, ["key"]), "key")
@@ -464,11 +520,11 @@ def terms_frame(df: DataFrame, a: Agg, mapping: Mapping) -> DataFrame:
         o = o.withColumn("key", F.explode(v) if f.type == LIST else v).where(F.col("key").isNotNull()).where(chosen(F.col("key"), b))
         own = [s for s in a.subs if s.type != "terms" and mapping.find(s.body["field"])[0]]
         docs = [s for s in a.subs if s.type != "terms" and not mapping.find(s.body["field"])[0]]
-        out = o.dropDuplicates(["id", "key"]).groupBy("key").agg(F.count(F.lit(1)).alias("doc_count"), *aggregate_columns(docs, mapping))
+        out = aggregate(o.dropDuplicates(["id", "key"]), ["key"], docs, mapping, more=(F.count(F.lit(1)).alias("doc_count"),))
         for s in own:  # objects holding the value, narrowed by the sub-aggregation's own where
             w = s.body.get("where")
             x = o if w is None else o.where(predicate(w, mapping, True, path, F.col("__o")))
-            out = out.join(x.groupBy("key").agg(*aggregate_columns([s], mapping, F.col("__o"), path)), "key", "left")
+            out = out.join(aggregate(x, ["key"], [s], mapping, F.col("__o"), path), "key", "left")
         return out
     v = value(name, mapping)
     if f.type == LIST:
@@ -538,7 +594,7 @@ def composite_frame(df: DataFrame, a: Agg, mapping: Mapping) -> DataFrame:
             v = cursor[next(iter(s))]
             got.append(float(v) if q.is_number(v) else v)
         df = df.where(after_cursor(ways, got))
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("doc_count"), *aggregate_columns(a.subs, mapping))
+    out = aggregate(df, keys, a.subs, mapping, more=(F.count(F.lit(1)).alias("doc_count"),))
     for s in a.subs:
         if s.type == "top_metrics" and s.body["size"] > 1:
             out = out.join(top_of(df, s, mapping, keys), keys)
@@ -558,8 +614,8 @@ def run(df: DataFrame, every: DataFrame, aggs: list[Agg], mapping: Mapping, room
     out: dict = {}
     plain = [a for a in aggs if a.type in METRICS and not mapping.find(a.body.get("field", ""))[0] and not (a.type == "top_metrics" and a.body["size"] > 1)]
     filters = [a for a in aggs if a.type == "filter"]
-    # a distinct count groups by its values first, where sketches and percentiles would hold a buffer for each value
-    heavy = any(a.type == "percentiles" or a.body.get("mode") == "sketch" for a in plain)
+    # a distinct count groups by its values first, where sketches would hold a buffer for each value
+    heavy = any(a.body.get("mode") == "sketch" for a in plain)
     alone = [a for a in plain if heavy and a.type == "cardinality" and a.body.get("mode") != "sketch"]
     # distinct entries of lists are counted over rows of entries: no task holds them all
     lists = [a for a in plain if a.type == "cardinality" and a.body["field"] in mapping.fields and mapping.fields[a.body["field"]].type == LIST]
@@ -569,15 +625,15 @@ def run(df: DataFrame, every: DataFrame, aggs: list[Agg], mapping: Mapping, room
         entries = df.select(F.explode(value(a.body["field"], mapping)).alias("v"))
         out[a.name] = metric_json(a, entries.agg(*[c.alias(f"{a.name}/{k}") for k, c in metric_columns(a, F.col("v")).items()]).first(), f"{a.name}/")
     if plain or filters:  # one pass for all metrics and filter counts
-        cols = aggregate_columns(plain, mapping) + [F.count_if(predicate(a.body["query"], mapping, True)).alias(f"{a.name}/n") for a in filters]
-        row = df.agg(*cols).first()
+        counts = [F.count_if(predicate(a.body["query"], mapping, True)).alias(f"{a.name}/n") for a in filters]
+        row = aggregate(df, [], plain, mapping, more=tuple(counts)).first()
         for a in plain:
             out[a.name] = metric_json(a, row, f"{a.name}/")
         for a in filters:
             _spend(room, 1, a)
             out[a.name] = {"doc_count": row[f"{a.name}/n"], **run(matching(df, a.body["query"], mapping), every, a.subs, mapping, room)}
     for a in alone:
-        out[a.name] = metric_json(a, df.agg(*aggregate_columns([a], mapping)).first(), f"{a.name}/")
+        out[a.name] = metric_json(a, aggregate(df, [], [a], mapping).first(), f"{a.name}/")
     for a in sorted(aggs, key=lambda a: a.name):
         if a.name in out:
             continue
@@ -587,12 +643,12 @@ def run(df: DataFrame, every: DataFrame, aggs: list[Agg], mapping: Mapping, room
         elif a.type in METRICS:
             path = mapping.find(a.body["field"])[0]
             o = df.select(F.explode(object_filter(a.body.get("where"), mapping, path)).alias("__o"))
-            out[a.name] = metric_json(a, o.agg(*aggregate_columns([a], mapping, F.col("__o"), path)).first(), f"{a.name}/")
+            out[a.name] = metric_json(a, aggregate(o, [], [a], mapping, F.col("__o"), path).first(), f"{a.name}/")
         elif a.type == "terms":
             out[a.name] = _terms_answer(df, a, mapping, room)
         elif a.type == "range":
             got = {r.key: r for r in range_frame(df, a, mapping).collect()}
-            blank = df.limit(0).agg(*aggregate_columns(a.subs, mapping)).first() if a.subs else None
+            blank = aggregate(df.limit(0), [], a.subs, mapping).first() if a.subs else None
             out[a.name] = {"buckets": [_range_bucket(a, r, got.get(i), blank) for i, r in enumerate(a.body["ranges"])]}
             _spend(room, len(a.body["ranges"]), a)
         elif a.type in ("histogram", "date_histogram"):
@@ -696,7 +752,7 @@ def _histogram_answer(df: DataFrame, a: Agg, mapping: Mapping, room: list[int])
         if cut:
             out["truncated"] = True
         room[0] -= len(keys) - len(rows)
-    blank = df.limit(0).agg(*aggregate_columns(a.subs, mapping)).first() if a.subs and len(keys) > len(rows) else None
+    blank = aggregate(df.limit(0), [], a.subs, mapping).first() if a.subs and len(keys) > len(rows) else None
     buckets = []
     for k in keys:
         r = got.get(k)

@@ -207,12 +207,12 @@ _agg("agg_composite", "lineitem", {"composite": {"sources": [{"f": {"terms": {"f
 
 
 def _metrics(name: str, source: str, specs: dict, select: list[str], sql: str):
-    """Metrics of all documents, in one pass."""
+    """Metrics of all documents."""
     build, mapping = _SOURCES[source]
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         found = ag.parse(specs, mapping, NOW)
-        return build(spark, d).agg(*ag.aggregate_columns(found, mapping)).selectExpr(*select)
+        return ag.aggregate(build(spark, d), [], found, mapping).selectExpr(*select)
 
     QUERIES[name], SQL[name] = run, sql
 

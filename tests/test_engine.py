@@ -9,6 +9,7 @@ import pytest
 from quern.engine import Engine, fnv
 from quern.functions import text as tx
 from quern.functions.match import compile_matcher
+from quern.operators import aggs as ag
 from quern.operators import percolate as pc
 from quern.operators.compile import predicate
 from quern.plans import datemath as dm
@@ -277,3 +278,74 @@ def test_stream_is_idempotent(spark, tmp_path):
     last = max(int(p.name) for p in (tmp_path / "state").iterdir())
     got = {r.id: r.seq for r in spark.read.parquet(str(tmp_path / "state" / str(last))).collect()}
     assert got == {f"k{k}": max(i for i in range(1, 30) if i % 5 == k) for k in range(5)}
+
+
+def read_by_one_task(spark, run) -> int:
+    """The most bytes of a shuffle that the task of a stage of one task read while run ran."""
+    store, seen = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = [0]
+    for i in range(seen, spark.sparkContext._jsc.sc().dagScheduler().nextStageId()):
+        try:
+            stage = store.lastStageAttempt(i)
+        except Exception:  # it was skipped
+            continue
+        found += [stage.shuffleReadBytes()] if stage.numTasks() == 1 else []
+    return max(found)
+
+
+def quantiles(values: list, percents: list) -> list | None:
+    values = sorted(values)
+    at = [(len(values) - 1) * p / 100 for p in percents]
+    return [pytest.approx(values[int(x)] + (values[min(int(x) + 1, len(values) - 1)] - values[int(x)]) * (x - int(x))) for x in at] if values else None
+
+
+def test_no_task_reads_all_values_for_exact_percentiles(spark):
+    n, m = 600_011, Mapping({"price": "number"}, "strict")
+    frame = sd.from_columns(spark.range(n), m, {"price": cl.F.expr(f"id * 7919 % {n}")}, cl.F.col("id"))
+    body = {"size": 0, "track_total": False, "aggs": {"p": {"percentiles": {"field": "price", "percents": [0, 50, 99, 100]}}}}
+    got = []
+    read = read_by_one_task(spark, lambda: got.append(Engine(spark).over("p", frame, m).search(body)["aggs"]["p"]["values"]))
+    assert list(got[0].values()) == quantiles(range(n), [0, 50, 99, 100])
+    assert read < n  # a byte for a value
+
+
+def test_exact_percentiles_of_wide_and_narrow_buckets(spark, monkeypatch):
+    """By a sketch that is off: values that repeat, negative ones, buckets without values, buckets that are aggregated whole."""
+    monkeypatch.setattr(ag, "WIDE", 40)
+    monkeypatch.setattr(ag, "ACCURACY", 3)
+    r = random.Random(SEED)
+    rows = [(i, k, v, [{"k": k, "n": v}, {"k": "x", "n": -v if v else None}]) for i, (k, v) in enumerate((k, f(r)) for k, size, f in (
+        ("a", 300, lambda r: r.choice([5.0] * 9 + [r.uniform(-1e6, 1e6)])), ("b", 90, lambda r: float(r.randint(0, 6))), ("c", 41, lambda r: r.gauss(0, 1e-3)), ("d", 40, lambda r: r.random()), ("e", 1, lambda r: 2.5), ("f", 3, lambda r: None),
+    ) for _ in range(size))]
+    m = Mapping({"k": "keyword", "n": "number", "_v": {"type": "nested", "fields": {"k": "keyword", "n": "number"}}}, "strict")
+    t = spark.createDataFrame(rows, "id long, k string, n double, v array<struct<k string, n double>>").repartition(3, "id")
+    index = Engine(spark).over("p", sd.from_columns(t, m, {"k": cl.F.col("k"), "n": cl.F.col("n"), "_v": cl.F.col("v")}, cl.F.col("id")), m)
+    ps = [0, 0.03, 25, 50, 99.9, 100]
+    spec = {"percentiles": {"field": "n", "percents": ps}}
+    nested = {"percentiles": {"field": "_v.n", "percents": ps}}
+    out = index.search({"size": 0, "aggs": {
+        "all": spec, "c": {"cardinality": {"field": "n"}}, "s": {"stats": {"field": "n"}}, "in": {"percentiles": {**nested["percentiles"], "where": {"field": "_v.k", "op": "eq", "value": "x"}}},
+        "none": {"filter": {"field": "k", "op": "eq", "value": "f"}, "aggs": {"p": spec}}, "k": {"terms": {"field": "k", "order": [{"p[50]": "desc"}]}, "aggs": {"p": spec, "q": {"percentiles": {"field": "n", "percents": [50]}}, "c": {"cardinality": {"field": "n"}}}},
+        "v": {"terms": {"field": "_v.k"}, "aggs": {"own": nested, "doc": spec}}, "r": {"range": {"field": "n", "ranges": [{"from": 1e9}, {"to": 1e9}]}, "aggs": {"p": spec}},
+        "o": {"composite": {"sources": [{"k": {"terms": {"field": "k"}}}, {"h": {"histogram": {"field": "n", "interval": 1e7}}}]}, "aggs": {"p": spec}},
+    }})["aggs"]
+    values = lambda a: None if None in a["values"].values() else list(a["values"].values())
+    of = {k: [v for _, x, v, _ in rows if x == k and v is not None] for k in "abcdef"}
+    every = [v for x in of.values() for v in x]
+    assert values(out["all"]) == values(out["r"]["buckets"][1]["p"]) == quantiles(every, ps) and out["c"]["value"] == len(set(every)) and out["s"]["count"] == len(every)
+    assert values(out["in"]) == quantiles([-v for v in every if v], ps)
+    assert values(out["none"]["p"]) is None and values(out["r"]["buckets"][0]["p"]) is None
+    for b in out["k"]["buckets"]:
+        assert values(b["p"]) == quantiles(of[b["key"]], ps) and values(b["q"]) == quantiles(of[b["key"]], [50]) and b["c"]["value"] == len(set(of[b["key"]]))
+    medians = [b["q"]["values"]["50.0"] for b in out["k"]["buckets"]]
+    assert len(medians) == 6 and medians[-1] is None and medians[:5] == sorted(medians[:5], reverse=True)
+    for b in out["v"]["buckets"]:
+        assert values(b["own"]) == quantiles(of[b["key"]] if b["key"] != "x" else [-v for v in every if v], ps)
+        assert values(b["doc"]) == quantiles(of[b["key"]] if b["key"] != "x" else every, ps)
+    halves: dict = {}
+    for _, k, v, _ in rows:
+        if v is not None:
+            halves.setdefault((k, v // 1e7 * 1e7), []).append(v)
+    assert {(b["key"]["k"], b["key"]["h"]): values(b["p"]) for b in out["o"]["buckets"]} == {k: quantiles(v, ps) for k, v in sorted(halves.items())[:10]}
