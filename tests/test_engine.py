@@ -311,6 +311,17 @@ def test_no_task_reads_all_values_for_exact_percentiles(spark):
     assert read < n  # a byte for a value
 
 
+def test_no_task_reads_all_values_beside_sketches(spark):
+    n, m = 600_011, Mapping({"price": "number"}, "strict")
+    frame = sd.from_columns(spark.range(n), m, {"price": cl.F.expr(f"id * 7919 % {n}")}, cl.F.col("id"))
+    kinds = {"c": {"cardinality": {"field": "price", "mode": "sketch"}}, "e": {"cardinality": {"field": "price"}}, "p": {"percentiles": {"field": "price", "percents": [50], "mode": "sketch"}}, "x": {"percentiles": {"field": "price", "percents": [50], "keyed": False}}}
+    got = []
+    read = read_by_one_task(spark, lambda: got.append(Engine(spark).over("p", frame, m).search({"size": 0, "track_total": False, "aggs": kinds})["aggs"]))
+    assert got[0]["e"]["value"] == n and got[0]["x"]["values"] == [{"key": 50, "value": n // 2}]
+    assert got[0]["c"]["value"] == pytest.approx(n, rel=0.03) and got[0]["p"]["values"]["50.0"] == pytest.approx(n / 2, rel=0.01)
+    assert read < n  # a byte for a value
+
+
 def test_exact_percentiles_of_wide_and_narrow_buckets(spark, monkeypatch):
     """By a sketch that is off: values that repeat, negative ones, buckets without values, buckets that are aggregated whole."""
     monkeypatch.setattr(ag, "WIDE", 40)
