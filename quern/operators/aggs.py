@@ -25,7 +25,7 @@ BUCKETS = ("terms", "range", "histogram", "date_histogram", "composite")
 WRAPPERS = ("filter", "filters", "global")
 MAX_AGGS, MAX_BUCKETS, MAX_SIZE = 100, 65_536, 65_536
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
-WIDE, NEAR, ACCURACY = 100_000, 0.0005, 5_000  # exact percentiles: a large bucket's values, the cuts about a percent, the sketch
+WIDE, NEAR, ACCURACY = 100_000, 0.002, 4_000  # exact percentiles: a large bucket's values, the cuts about a percent (seven standard errors of the sketch), the sketch
 _RESERVED = {"filter": {"doc_count"}, "filters": {"doc_count"}, "global": {"doc_count"}}
 _RESERVED_BUCKET = {"key", "key_as_string", "from", "to", "doc_count", "doc_count_error_upper_bound"}
 _UNITS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
@@ -333,8 +333,13 @@ def value(name: str, mapping: Mapping, obj: Column | None = None, path: str | No
     return column("_id__t") if name == "_id" else column(f"{name}__{part}")
 
 
-def metric_columns(a: Agg, v: Column) -> dict[str, Column]:
-    """Aggregate columns of one metric over the value column v."""
+def sketched(v: Column, at: list[float], k: int) -> Column:
+    """Values about the ranks at, of a sketch that is merged in time that grows with the number of sketches (percentile_approx: with its square); null without values."""
+    return F.when(F.count(v) > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(v, F.lit(min(max(k, 8), 65_535))), F.array(*map(F.lit, at))))
+
+
+def metric_columns(a: Agg, v: Column, whole: bool = False) -> dict[str, Column]:
+    """Aggregate columns of one metric over the value column v; whole: of a scope, not of each of many buckets."""
     b = a.body
     if a.type == "stats":
         return {"count": F.count(v), "min": F.min(v), "max": F.max(v), "avg": F.avg(v), "sum": F.coalesce(F.sum(v), F.lit(0.0))}
@@ -346,9 +351,9 @@ def metric_columns(a: Agg, v: Column) -> dict[str, Column]:
         n = F.count_distinct(v)
         return {"value": F.least(n, F.lit(b["threshold"])) if "threshold" in b else n}
     if a.type == "percentiles":
-        ps = sorted(float(p) for p in b["percents"])
-        at = F.array(*[F.lit(p / 100) for p in ps])
-        return {"values": F.percentile_approx(v, at, 100 * b.get("tdigest", {}).get("compression", 100))}  # exact: percentiles
+        at, c = [p / 100 for p in sorted(float(p) for p in b["percents"])], b.get("tdigest", {}).get("compression", 100)
+        # exact: percentiles; a bucket has a sketch that begins small
+        return {"values": sketched(v, at, int(40 * c)) if whole else F.percentile_approx(v, F.array(*map(F.lit, at)), 100 * c)}
     if a.type == "percentile_ranks":
         n = F.count(v)
         return {f"r{i}": F.when(n > 0, (F.count_if(v < x) + F.count_if(v == x) * 0.5) / n * 100) for i, x in enumerate(sorted(float(x) for x in b["values"]))}
@@ -398,7 +403,7 @@ def _ranked(a: Agg) -> bool:
     return a.type == "percentiles" and a.body.get("mode") != "sketch"
 
 
-def aggregate_columns(subs: list[Agg], mapping: Mapping, obj: Column | None = None, path: str | None = None) -> list[Column]:
+def aggregate_columns(subs: list[Agg], mapping: Mapping, obj: Column | None = None, path: str | None = None, whole: bool = False) -> list[Column]:
     out = []
     for a in subs:
         if _ranked(a):
@@ -408,14 +413,14 @@ def aggregate_columns(subs: list[Agg], mapping: Mapping, obj: Column | None = No
         else:
             v = value(a.body["field"], mapping, obj, path)
             f = mapping.find(a.body["field"])[1]
-            cols = metric_columns(a, v) if not (f and f.type == LIST) else {"value": F.size(F.array_distinct(F.flatten(F.collect_set(v))))}
+            cols = metric_columns(a, v, whole) if not (f and f.type == LIST) else {"value": F.size(F.array_distinct(F.flatten(F.collect_set(v))))}
         out += [c.alias(f"{a.name}/{k}") for k, c in cols.items()]
     return out
 
 
 def aggregate(df: DataFrame, by: list[str], subs: list[Agg], mapping: Mapping, obj: Column | None = None, path: str | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
     """(by, more, metrics) by the columns by, which hold no null; without by one row."""
-    cols = [*more, *aggregate_columns(subs, mapping, obj, path)]
+    cols = [*more, *aggregate_columns(subs, mapping, obj, path, not by)]
     out = df.groupBy(*by).agg(*cols) if cols else df.select(*by).distinct() if by else None
     for a in filter(_ranked, subs):
         got = percentiles(df.select(*by, value(a.body["field"], mapping, obj, path).alias("v")), by, a.body["percents"]).withColumnRenamed("values", f"{a.name}/values")
@@ -428,12 +433,15 @@ def percentiles(df: DataFrame, by: list[str], percents: list) -> DataFrame:
 
     Sketched percentiles on both sides of each one that is wanted cut a bucket's values into parts; the parts are counted,
     and only those that hold a wanted rank are sorted. Where a sketch is off, a part is larger and the answer the same.
-    Buckets of up to WIDE values are aggregated whole. Without by there is one row, of null where no value is."""
+    Buckets of up to WIDE values are aggregated whole. Without by there is one row, of null where no value is.
+    The cuts are fetched here, once: a sketch that is made twice has other values, and the parts would not be those counted."""
     ps = [p / 100 for p in sorted(float(p) for p in percents)]
     df = df.where(F.col("v").isNotNull())
     ends = sorted({min(max(p + d, 0.0), 1.0) for p in ps for d in (-NEAR, NEAR)})
-    wide = df.groupBy(*by).agg(F.count("v").alias("n"), F.sort_array(F.percentile_approx("v", F.array(*map(F.lit, ends)), ACCURACY)).alias("cuts")).where(F.col("n") > (WIDE if by else 0)).drop("n")
     beside = lambda left, right, on, how="inner": left.join(F.broadcast(right), on, how) if on else left.crossJoin(F.broadcast(right))
+    large = beside(df, df.groupBy(*by).agg(F.count("v").alias("n")).where(F.col("n") > WIDE).drop("n"), by, "left_semi") if by else df
+    cuts = large.groupBy(*by).agg(sketched(F.col("v"), ends, ACCURACY).alias("cuts")).where(F.col("cuts").isNotNull())
+    wide = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
 
     # a value's part is the number of cuts up to it, counted over every step-th of them and then within a step
     step = math.ceil(math.sqrt(len(ends)))

@@ -322,6 +322,25 @@ def test_no_task_reads_all_values_beside_sketches(spark):
     assert read < n  # a byte for a value
 
 
+def test_one_task_merges_many_sketches_in_little_time(spark):
+    """200 sketches, of both modes: their merging takes time that grows with their number, not with its square."""
+    n, m = 4_000_037, Mapping({"price": "number"}, "strict")
+    frame = sd.from_columns(spark.range(0, n, 1, 200), m, {"price": cl.F.expr(f"id * 7919 % {n}")}, cl.F.col("id"))
+    kinds = {"p": {"percentiles": {"field": "price", "percents": [1, 50], "mode": "sketch"}}, "x": {"percentiles": {"field": "price", "percents": [1, 50]}}}
+    store, seen, took = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().dagScheduler().nextStageId(), [0.0]
+    got = Engine(spark).over("p", frame, m).search({"size": 0, "track_total": False, "aggs": kinds})["aggs"]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert list(got["x"]["values"].values()) == quantiles(range(n), [1, 50])
+    assert list(got["p"]["values"].values()) == pytest.approx([n * 0.01, n * 0.5], abs=n * 0.003)
+    for i in range(seen, spark.sparkContext._jsc.sc().dagScheduler().nextStageId()):
+        try:
+            stage = store.lastStageAttempt(i)
+        except Exception:  # it was skipped
+            continue
+        took += [stage.executorCpuTime() / 1e9] if stage.numTasks() == 1 else []
+    assert max(took) < 2
+
+
 def test_exact_percentiles_of_wide_and_narrow_buckets(spark, monkeypatch):
     """By a sketch that is off: values that repeat, negative ones, buckets without values, buckets that are aggregated whole."""
     monkeypatch.setattr(ag, "WIDE", 40)
